@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+import os
+
+from . import exact_dedup, token_codes
 from .common import table
 
 
@@ -10,6 +12,20 @@ def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path(name="word_bpe_49k.json"):
+    """Of a public vocabulary; TOKENIZER_DIR names another folder than the installed one."""
+    if folder := os.environ.get("TOKENIZER_DIR"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_codes(spark, sf_dir, documents=None):
+    documents = table(spark, sf_dir, "documents") if documents is None else documents
+    return token_codes.read_digest(spark, token_codes.write_tokens(documents, tokenizer_path()))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
