@@ -121,6 +121,8 @@ class WordEncoder:
         if not word or max(word) >= "\u0130" or "'" in word or "<" in word:
             return word, ""
         core = word.rstrip(".,!?|;:%$&*#")
+        if not core[-1:].isalnum():  # else a run of punctuation would be cut in two
+            return word, ""
         return (core.lower() if self.lowers else core), word[len(core) :]
 
     def _learn_cores(self, cores: list[str]) -> None:
