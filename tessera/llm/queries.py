@@ -4,10 +4,17 @@ from __future__ import annotations
 
 import os
 
-from . import exact_dedup, token_codes
+from . import exact_dedup, mixing, token_codes, url_filter
 from .common import table
 
 
+URL_RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
+
+
+def op1_url_filter(spark, sf_dir):
+    return url_filter.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -26,6 +33,11 @@ def op4_token_codes(spark, sf_dir, documents=None):
     return token_codes.read_digest(spark, token_codes.write_tokens(documents, tokenizer_path()))
 
 
+def op5_mixing(spark, sf_dir, documents=None):
+    documents = table(spark, sf_dir, "documents") if documents is None else documents
+    return mixing.mix(documents).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
