@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import exact_dedup, mixing, token_codes, url_filter
+from . import decontaminate, exact_dedup, mixing, token_codes, url_filter
 from .common import table
 
 
@@ -38,9 +38,14 @@ def op5_mixing(spark, sf_dir, documents=None):
     return mixing.mix(documents).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_decontaminate(spark, sf_dir, documents=None):
+    documents = table(spark, sf_dir, "documents") if documents is None else documents
+    return decontaminate.digest(decontaminate.find(documents, table(spark, sf_dir, "benchmark")))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.SQL}
+    return {"op3_exact_dedup": exact_dedup.SQL, "op6_decontaminate": decontaminate.SQL}
