@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import decontaminate, exact_dedup, mixing, token_codes, url_filter
+from . import decontaminate, exact_dedup, language_id, mixing, quality, token_codes, url_filter
 from .common import table
 
 
@@ -43,6 +43,16 @@ def op6_decontaminate(spark, sf_dir, documents=None):
     return decontaminate.digest(decontaminate.find(documents, table(spark, sf_dir, "benchmark")))
 
 
+def op7_language_id(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return language_id.predict(documents, language_id.fit(documents, tokenizer_path("piece_bpe_32k.model")))
+
+
+def op10_quality(spark, sf_dir):
+    documents = table(spark, sf_dir, "documents")
+    return quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
+
+
 def queries():
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
