@@ -20,7 +20,7 @@ from .common import LOWER, WORD_CHAR, ship, slices, utf8, words
 
 WINDOW = 13
 #: Bytes of text of a shard.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 2 << 20
 #: Every so many positions of the sequence one is kept for locating.
 SAMPLE = 16
 #: Benchmark bytes that one pass broadcasts; a larger benchmark takes more passes.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import decontaminate, exact_dedup, language_id, mixing, quality, token_codes, url_filter
+from . import decontaminate, exact_dedup, html_text, language_id, mixing, quality, token_codes, url_filter
 from .common import table
 
 
@@ -48,6 +48,10 @@ def op7_language_id(spark, sf_dir):
     return language_id.predict(documents, language_id.fit(documents, tokenizer_path("piece_bpe_32k.model")))
 
 
+def op8_html_text(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op10_quality(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     return quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
