@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import decontaminate, exact_dedup, html_text, language_id, mixing, quality, token_codes, url_filter
+from . import decontaminate, exact_dedup, html_text, language_id, mixing, quality, suffix_dedup, token_codes, url_filter
 from .common import table
 
 
@@ -52,6 +52,11 @@ def op8_html_text(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    out = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_quality(spark, sf_dir):
     documents = table(spark, sf_dir, "documents")
     return quality.score(documents, quality.fit(documents, table(spark, sf_dir, "labels")))
