@@ -39,9 +39,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes that Spark gathers for one Arrow batch; long texts times Spark's own row count would take far more.
+BATCH_BYTES = 4 << 20
+
+
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context, so that their Python can import it."""
-    sc = spark.sparkContext
+    """Sends this package to the executors, once a context, so that their Python can import it, and bounds the
+    session's Arrow batches in bytes where they aren't bounded as low."""
+    sc, key = spark.sparkContext, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
     if getattr(sc, "_tessera_shipped", False):
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))

@@ -22,15 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, slices, stage_path, utf8
+from .common import LOWER, ship, slices, span_hashes, stage_path, utf8
 
-SEGMENT_TOKENS = 1 << 20
+SEGMENT_TOKENS = 1 << 18
 RANK_BITS = 512
 #: Text bytes of a bucket, the range of documents that one task writes.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 END_ID = 1
-#: Words of which the ids are kept, for each Python worker.
-CACHE_WORDS = 600_000
+#: Pieces of which the ids are kept, for each Python worker, at about 40 bytes.
+CACHE_PIECES = 2_000_000
 
 SEGMENT_SCHEMA = (
     "bucket long, seq long, n_tokens long, doc_ids array<bigint>, doc_lens array<bigint>, "
@@ -90,15 +90,23 @@ def dac_decode(levels: list[dict]) -> np.ndarray:
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_LEVEL = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
+#: Kinds of bytes after lower-casing: 0 white space, 1 letters (the bytes of Latin-1 letters too), 2 digits, 3 others.
+PIECE_KIND = np.full(256, 3, np.uint8)
+PIECE_KIND[[*range(0x09, 0x0E), 0x20]] = 0
+PIECE_KIND[97:123] = PIECE_KIND[128:] = 1
+PIECE_KIND[48:58] = 2
+
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
 class WordEncoder:
-    """Encodes texts word by word through the tokenizers library, and remembers the ids of words.
+    """Encodes texts through the tokenizers library, each piece once, and remembers the ids of pieces.
 
-    Right for tokenizers that drop white space and encode the words between white space, and the letters and
-    the punctuation in them, independently of each other: whole-text encoding is then the concatenation, which
-    tests compare. lowers: the tokenizer lowers letters, so that one entry serves each case of a word.
+    For tokenizers that lower letters, drop white space and part texts into runs of letters, single digits and
+    runs of other signs: these pieces go to the library's BPE model, and a text's ids are those of its pieces
+    in order. Probes at the start tell whether the tokenizer is of this kind. Texts with signs for which more
+    is to be known (apostrophes of contractions, < of special tokens, characters beyond Latin-1 letters) and
+    other tokenizers' texts go through the whole tokenizer. Tests compare both ways.
     """
 
     def __init__(self, path: str):
@@ -106,55 +114,75 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.lowers = self.tokenizer.normalizer is not None and self.tokenizer.normalizer.normalize_str("A") == "a"
-        # an ASCII and a two-byte probe: whether letters reach the model lowered, in the byte-level alphabet and as one piece
-        self.plain = self.lowers and all(
-            [t.id for t in self.tokenizer.model.tokenize(w.encode().decode("latin-1").translate(BYTE_LEVEL))] == self.tokenizer.encode(w, add_special_tokens=False).ids
-            for w in ("thingandother", "déjàüberñ", "a")
+        self.plain = all(
+            [i for w in split for i in self._model_ids(w.encode())] == self.tokenizer.encode(text, add_special_tokens=False).ids
+            for text, split in (("Thing, and\nOTHER ##", ("thing", ",", "and", "other", "##")), ("DÉJÀ über-ñ", ("déjà", "über", "-", "ñ")), ("a 12%", ("a", "1", "2", "%")), ("\x01.", ("\x01.",)))
         )
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {"": b""}
-
-    def _parts(self, word: str) -> tuple[str, str]:
-        """A core and the punctuation after it, where they can be encoded apart; only letters with simple case
-        and no apostrophe (contractions) or < (special tokens) are changed."""
-        if not word or max(word) >= "\u0130" or "'" in word or "<" in word:
-            return word, ""
-        core = word.rstrip(".,!?|;:%$&*#")
-        if not core[-1:].isalnum():  # else a run of punctuation would be cut in two
-            return word, ""
-        return (core.lower() if self.lowers else core), word[len(core) :]
-
-    def _learn_cores(self, cores: list[str]) -> None:
-        """Runs of plain letters are one piece for the library's BPE model, which gets them in the byte-level
-        alphabet; other cores go through the whole tokenizer."""
-        model, out, np_ids = self.tokenizer.model, self.cores, lambda x: np.asarray(x, dtype="<u4").tobytes()
-        for core in cores:
-            if self.plain and core.isalpha() and max(core) < "\u0130":
-                out[core] = np_ids([t.id for t in model.tokenize(core.encode().decode("latin-1").translate(BYTE_LEVEL))])
+        self.forget()
+
+    def forget(self) -> None:
+        self.hashes, self.starts, self.counts, self.ids = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def _model_ids(self, piece: bytes) -> list[int]:
+        return [t.id for t in self.tokenizer.model.tokenize(piece.decode("latin-1").translate(BYTE_LEVEL))]
+
+    def _learn(self, hashes: np.ndarray, pieces: list[bytes]) -> None:
+        """hashes: sorted and unknown, one for each piece."""
+        if len(self.hashes) + len(hashes) > CACHE_PIECES:
+            self.forget()
+        found = [self._model_ids(p) for p in pieces]
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        starts = len(self.ids) + np.cumsum(counts) - counts
+        self.ids = np.concatenate([self.ids, np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))])
+        at = np.searchsorted(self.hashes, hashes)
+        self.hashes, self.starts, self.counts = np.insert(self.hashes, at, hashes), np.insert(self.starts, at, starts), np.insert(self.counts, at, counts)
+
+    def _find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.hashes):
+            return np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        i = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return i, self.hashes[i] == hashes
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> list[np.ndarray]:
+        """The ids of each row of data, with end_id at the end."""
+        n = len(offsets) - 1
+        row = np.repeat(np.arange(n), np.diff(offsets))
+        after_c3 = np.zeros(len(data), bool)
+        after_c3[1:] = data[:-1] == 0xC3
+        odd = (data == 0x27) | (data == 0x3C) | ((data >= 0x80) & (data != 0xC3) & ~after_c3) | (after_c3 & ((data == 0x97) | (data == 0xB7)))
+        whole = np.bincount(row[odd], minlength=n) > 0 if self.plain else np.ones(n, bool)
+        low = LOWER[data]
+        low[after_c3 & (data >= 0x80) & (data <= 0x9E)] += 0x20
+        kind = PIECE_KIND[low]
+        cut = np.ones(len(data), bool)
+        cut[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2) | (row[1:] != row[:-1])
+        bounds = np.flatnonzero(cut)
+        ends = np.append(bounds[1:], len(data))
+        keep = (kind[bounds] > 0) & ~whole[row[bounds]]
+        bounds, ends = bounds[keep], ends[keep]
+        ids, counts, flat = [], np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        if len(bounds):
+            hashes, first, inverse = np.unique(span_hashes(low, bounds, ends), return_index=True, return_inverse=True)
+            i, known = self._find(hashes)
+            if not known.all():
+                if len(self.hashes) + np.count_nonzero(~known) > CACHE_PIECES:
+                    self.forget()
+                    known[:] = False
+                raw = low.tobytes()
+                self._learn(hashes[~known], [raw[a:b] for a, b in zip(bounds[first[~known]].tolist(), ends[first[~known]].tolist())])
+                i, _ = self._find(hashes)
+            at = i[inverse]
+            counts = self.counts[at]
+            flat = self.ids[np.repeat(self.starts[at] - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())]
+        per_row = np.bincount(row[bounds], counts, n).astype(np.int64) if len(bounds) else np.zeros(n, np.int64)
+        stops = np.cumsum(per_row)
+        for k in range(n):
+            if whole[k]:
+                own = np.asarray(self.tokenizer.encode(data[offsets[k] : offsets[k + 1]].tobytes().decode(), add_special_tokens=False).ids, np.uint32)
             else:
-                out[core] = np_ids(self.tokenizer.encode(core, add_special_tokens=False).ids)
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.cores) > CACHE_WORDS:
-            self.cores = {"": b""}
-        parts = {w: self._parts(w) for w in words}
-        new = {x for p in parts.values() for x in p} - self.cores.keys()
-        self._learn_cores(list(new))
-        get = self.cores.__getitem__
-        self.known.update((w, get(a) + get(b)) for w, (a, b) in parts.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        words = set().union(*split)
-        new = words - self.known.keys()
-        if len(self.known) + len(new) > CACHE_WORDS:
-            self.known, new = {}, words
-        if new:
-            self.learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+                own = flat[stops[k] - per_row[k] : stops[k]]
+            ids.append(np.append(own, np.uint32(end_id)))
+        return ids
 
 
 def encoder(path: str) -> WordEncoder:
@@ -165,29 +193,26 @@ def encoder(path: str) -> WordEncoder:
 
 def _encode_batches(path: str, end_id: int, edges: np.ndarray):
     """Arrow batches (doc_id, text) to (bucket, doc_id, n_tokens, ids); bucket: the number of edges not above the id."""
-    end = np.asarray([end_id], "<u4").tobytes()
 
     def run(batches):
         enc = encoder(path)
         for batch in batches:
-            _, offsets = utf8(batch.column("text"))
-            for a, b in slices(offsets, 1 << 20):
+            data, offsets = utf8(batch.column("text"))
+            for a, b in slices(offsets, 1 << 19):
                 part = batch.slice(a, b - a)
-                ids = [x + end for x in enc.encode([t or "" for t in part.column("text").to_pylist()])]
-                packed = [_pack(x) for x in ids]
+                ids = enc.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end_id)
                 bucket = np.searchsorted(edges, part.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="right")
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(bucket, pa.int64()), part.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(packed, pa.binary())],
+                    [pa.array(bucket, pa.int64()), part.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([_pack(x) for x in ids], pa.binary())],
                     names=["bucket", "doc_id", "n_tokens", "ids"],
                 )
 
     return run
 
 
-def _pack(ids: bytes) -> bytes:
+def _pack(ids: np.ndarray) -> bytes:
     """As 16-bit integers where all fit, which the length tells: half the bytes to shuffle."""
-    x = np.frombuffer(ids, "<u4")
-    return x.astype("<u2").tobytes() if int(x.max()) < 1 << 16 else ids
+    return ids.astype("<u2" if int(ids.max()) < 1 << 16 else "<u4").tobytes()
 
 
 def _unpack(packed: bytes, n: int) -> np.ndarray:
