@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from . import decontaminate, exact_dedup, html_text, language_id, mixing, quality, suffix_dedup, token_codes, url_filter
+from . import decontaminate, exact_dedup, html_text, language_id, mixing, ngram_join, quality, suffix_dedup, token_codes, url_filter
 from .common import table
 
 
@@ -15,6 +15,10 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_ngram_join(spark, sf_dir):
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op3_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -67,4 +71,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op3_exact_dedup": exact_dedup.SQL, "op6_decontaminate": decontaminate.SQL}
+    return {"op2_ngram_join": ngram_join.SQL, "op3_exact_dedup": exact_dedup.SQL, "op6_decontaminate": decontaminate.SQL}
