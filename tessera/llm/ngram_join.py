@@ -28,8 +28,8 @@ PERCENT = 90
 BLOCK, QUERIES = 256, 4096
 #: Cells of the table of shingle counts that the global order is taken from: a fixed size; any order gives the same links.
 CELLS = 1 << 18
-#: Sets that may be a candidate's: bits of the broadcast bitmap, of the first three bytes of a class id.
-BITS = 1 << 24
+#: Cells of the broadcast bitmaps of classes and of keys (2 MB and 16 MB, whatever the input's size).
+BITS, KEY_BITS = 1 << 24, 1 << 27
 #: The paper's weight of a probe against a merge step.
 MU = 0.0085
 HOT = 1024
@@ -85,58 +85,134 @@ def _counts(size: int):
     return run
 
 
+def _reserve(n):
+    """How many shingles of the prefixes a link's two sets have to share, at least, when prefixes are longer by as many."""
+    return np.maximum(1, n // 10)
+
+
 def _signatures(shared, size: int, percent: int):
-    """(_id, text) to (_id, n, cid, keys): the keys of prefixes, each for the row's size class and the next."""
+    """(_id, text) to (_id, n, cid, c, pre): c is the first half of cid, pre the longer prefix in the global order."""
 
     def run(batches):
-        step = math.log(100 / percent) * 1.001  # a little wider than the ratio, so that rounding parts no pair
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in slices(offsets):
                 h, rows = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
                 n = np.bincount(rows, minlength=b - a)
                 order = np.lexsort((h, shared.value[(h % np.uint64(CELLS)).astype(np.int64)], rows))
-                length = n - (percent * n + 99) // 100 + 1
+                length = n - (percent * n + 99) // 100 + _reserve(n)
                 k = np.arange(len(h)) - (np.cumsum(n) - n)[rows]
                 kept = k < length[rows]
-                p, r = h[order][kept], rows[kept]
-                level = np.floor(np.log(n[r]) / step).astype(np.uint64)
-                keys = np.stack([mix(p ^ mix(level)), mix(p ^ mix(level + np.uint64(1)))], 1)
-                cut = np.searchsorted(r, np.arange(b - a + 1))
+                p, cut = h[order][kept], np.searchsorted(rows[kept], np.arange(b - a + 1))
                 cid = class_ids(h, rows, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id").slice(a, b - a), pa.array(n, pa.int64()), _binary(cid), pa.array([keys[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())],
-                    names=["_id", "n", "cid", "keys"],
+                    [batch.column("_id").slice(a, b - a), pa.array(n, pa.int64()), _binary(cid), pa.array(cid[:, :8].copy().view(np.int64)[:, 0]), pa.array([p[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())],
+                    names=["_id", "n", "cid", "c", "pre"],
                 )
 
     return run
 
 
-def _explode(batches):
-    for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
-            keys = part.column("keys").to_pylist()
-            row = np.repeat(np.arange(len(keys)), [len(k) // 8 for k in keys])
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(keys), np.int64)), part.column("cid").take(pa.array(row))], names=["key", "cid"])
+def _holds(bitmap: np.ndarray, x: np.ndarray) -> np.ndarray:
+    cell = x & (len(bitmap) * 8 - 1)
+    return (bitmap[cell >> 3] >> (cell & 7) & 1).astype(bool)
+
+
+def _explode(percent: int, shared=None):
+    """(c, n, pre) to (key, c): the prefix's keys, each for the row's size class and the next; of the keys of a bitmap alone."""
+
+    def run(batches):
+        step = math.log(100 / percent) * 1.001  # a little wider than the ratio, so that rounding parts no pair
+        for batch in batches:
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                n = part.column("n").to_numpy()
+                length = n - (percent * n + 99) // 100 + 1
+                p = np.frombuffer(b"".join(x[: 8 * k] for x, k in zip(part.column("pre").to_pylist(), length.tolist())), np.uint64)
+                row = np.repeat(np.arange(len(n)), length)
+                level = np.floor(np.log(n) / step).astype(np.uint64)[row]
+                keys = np.concatenate([mix(p ^ mix(level)), mix(p ^ mix(level + np.uint64(1)))]).view(np.int64)
+                c = np.tile(part.column("c").to_numpy()[row], 2)
+                if shared is not None:
+                    kept = _holds(shared.value, keys)
+                    keys, c = keys[kept], c[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c)], names=["key", "c"])
+
+    return run
+
+
+def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
+    """bits (a power of two) cells of the values of a long column; its size doesn't grow with df."""
+    cell = F.pmod(F.col(column), F.lit(bits)) + 1
+    rows = df.select(cell.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("map")).collect()
+    out = np.zeros(bits // 8, np.uint8)
+    for r in rows:
+        out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["map"]), np.uint8)
+    return out
+
+
+def _passing(shared, column: str):
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(_holds(shared.value, batch.column(column).to_numpy())))
+
+    return run
 
 
 def _sets(shared, size: int):
-    """Texts to (cid, set) of the classes that the bitmap may hold, each once a batch."""
+    """(h, text) to (cid, set) of the rows whose h the bitmap may hold."""
 
     def run(batches):
         for batch in batches:
+            batch = batch.filter(pa.array(_holds(shared.value, batch.column("h").to_numpy())))
             data, offsets = utf8(batch.column("text"))
             for a, b in slices(offsets):
                 h, rows = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                cid = class_ids(h, rows, b - a)
-                cell = cid[:, 0].astype(np.int64) << 16 | cid[:, 1].astype(np.int64) << 8 | cid[:, 2]
                 cut = np.searchsorted(rows, np.arange(b - a + 1))
-                found = {}
-                for i in np.flatnonzero(shared.value[cell >> 3] >> (cell & 7) & 1).tolist():
-                    if cut[i + 1] > cut[i]:
-                        found.setdefault(cid[i].tobytes(), h[cut[i] : cut[i + 1]].tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.binary())], names=["cid", "set"])
+                yield pa.RecordBatch.from_arrays([_binary(class_ids(h, rows, b - a)), pa.array([h[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())], names=["cid", "set"])
+
+    return run
+
+
+def _near(percent: int):
+    """Sorted rows (leader, cid, n, pre) of small groups: those that share enough of the longer prefixes with another of
+    their group, and are near it in size. Every link's two ends are."""
+
+    def run(batches):
+        group, rows = None, []
+
+        def near():
+            n = np.array([r[1] for r in rows])
+            pre = [np.frombuffer(r[2], np.uint64) for r in rows]
+            doc = np.repeat(np.arange(len(rows)), [len(x) for x in pre])
+            _, at = np.unique(np.concatenate(pre), return_inverse=True)
+            order = np.argsort(at, kind="stable")
+            starts = np.searchsorted(at[order], np.arange(at.max() + 2))
+            doc_of, need, first = doc[order], _reserve(n), np.cumsum([0, *map(len, pre)])
+            for i in range(len(rows)):
+                own = at[first[i] : first[i + 1]]
+                lengths = starts[own + 1] - starts[own]
+                places = np.repeat(starts[own] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
+                shared = np.bincount(doc_of[places], minlength=len(rows))
+                shared[i] = -1
+                if ((shared >= np.minimum(need, need[i])) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)).any():
+                    yield group, rows[i][0]
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.int64()), pa.array([c for _, c in found], pa.binary())], names=["leader", "cid"])
+
+        found = []
+        for batch in batches:
+            for leader, *row in zip(*(batch.column(c).to_pylist() for c in ("leader", "cid", "n", "pre"))):
+                if leader != group:
+                    found += near() if rows else []
+                    group, rows = leader, []
+                rows.append(row)
+            if len(found) > 10_000:
+                yield batch_of(found)
+                found = []
+        found += near() if rows else []
+        yield batch_of(found)
 
     return run
 
@@ -218,7 +294,7 @@ def _search(percent: int):
             return [(group[0], a, b) for a, b in own.edges()] if own is not None else []
 
         def batch_of(rows):
-            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary()) for k in range(3)], names=["leader", "a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.binary() if k else pa.int64()) for k in range(3)], names=["leader", "a", "b"])
 
         for batch in batches:
             for leader, number, salt, role, cid, s in zip(*(batch.column(c).to_pylist() for c in ("leader", "block", "salt", "role", "cid", "set"))):
@@ -251,7 +327,7 @@ def _search(percent: int):
 
 def _searched(rows: DataFrame, percent: int) -> DataFrame:
     rows = rows.select("leader", "block", "salt", "role", "cid", "set").repartition("leader", "block", "salt").sortWithinPartitions("leader", "block", "salt", "role", "cid")
-    return rows.mapInArrow(_search(percent), "leader binary, a binary, b binary")
+    return rows.mapInArrow(_search(percent), "leader long, a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -289,13 +365,10 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     order = np.zeros(CELLS, np.int64)
     order[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     kind = docs.schema["_id"].dataType.simpleString()
-    signed = stage(docs.mapInArrow(_signatures(spark.sparkContext.broadcast(order), size, percent), f"_id {kind}, n long, cid binary, keys binary"), "join-signatures")
+    signed = stage(docs.mapInArrow(_signatures(spark.sparkContext.broadcast(order), size, percent), f"_id {kind}, n long, cid binary, c long, pre binary"), "join-signatures")
 
     classes = signed.filter("n > 0").groupBy("cid").agg(F.min("_id").alias("id"), F.count("*").alias("rows"))
-    postings = signed.filter("n > 0").select("cid", "keys").mapInArrow(_explode, "key long, cid binary")
-    met = stage(postings.groupBy("key").agg(F.min("cid").alias("leader"), F.max("cid").alias("last")).filter("leader <> last").select("key", "leader"), "join-keys")
-    routes = stage(postings.join(met, "key").select("leader", "cid").distinct(), "join-routes")
-    roots = components(_links(spark, texts, routes, size, percent))
+    roots = components(_links(spark, docs, signed.filter("n > 0"), size, percent))
 
     named = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"), F.sum("rows").alias("total")).filter("total > 1")
@@ -307,35 +380,41 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     return rows.filter("rows is not null").select(*cols).unionByName(rest.select(*cols))
 
 
-def _links(spark, texts: DataFrame, routes: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links that join the components, found in the groups of routes (leader, cid)."""
-    three = F.conv(F.hex(F.substring("cid", 1, 3)), 16, 10).cast("bigint") + 1
-    cells = routes.select(three.alias("c")).distinct().groupBy(F.bitmap_bucket_number("c").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits")).collect()
-    bitmap = np.zeros(BITS // 8 + 4096, np.uint8)
-    for r in cells:
-        at = (r["k"] - 1) * 4096
-        bitmap[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
-    sets = texts.mapInArrow(_sets(spark.sparkContext.broadcast(bitmap), size), "cid binary, set binary")
-    # one set a class, and only those of classes with a route; map-side, copies in a batch were dropped before
-    sets = stage(sets.groupBy("cid").agg(F.first("set").alias("set")), "join-sets")
-
+def _links(spark, docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
+    """(a, b): links that join the components. Classes meet under keys, and go on to a leader's group with prefixes
+    first and then, where they may have a link there, with whole sets. Bitmaps only keep rows from shuffles."""
+    send = spark.sparkContext.broadcast
+    prefixes = signed.select("c", "n", "pre")
+    met = prefixes.mapInArrow(_explode(percent), "key long, c long").groupBy("key").agg(F.min("c").alias("leader"), F.max("c").alias("last")).filter("leader <> last")
+    met = stage(met.select("key", "leader"), "join-keys")
+    own_keys = prefixes.mapInArrow(_explode(percent, send(bitmap(met, "key", KEY_BITS))), "key long, c long")
+    routes = stage(own_keys.join(met, "key").select("leader", "c").distinct(), "join-routes")
+    met_classes = signed.mapInArrow(_passing(send(bitmap(routes, "c", BITS)), "c"), signed.schema)
+    # any of a class's rows serves: all have its set
+    cands = met_classes.groupBy("cid").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.first("pre").alias("pre"), F.min(F.xxhash64("_id")).alias("h"))
+    cands = stage(cands, "join-candidates")
     groups = routes.groupBy("leader").agg(F.count("*").alias("size"))
-    small = groups.filter(F.col("size") <= BLOCK).select("leader")
-    large = stage(groups.filter(F.col("size") > BLOCK), "join-large")
+    small, large = groups.filter(F.col("size") <= BLOCK).select("leader"), stage(groups.filter(F.col("size") > BLOCK), "join-large")
+    few = routes.join(small, "leader").join(cands.select("c", "cid", "n", "pre"), "c").select("leader", "cid", "n", "pre")
+    few = stage(few.repartition("leader").sortWithinPartitions("leader").mapInArrow(_near(percent), "leader long, cid binary"), "join-near")
+    many = stage(routes.join(large, "leader").join(cands.select("c", "cid"), "c"), "join-members")
+    asked = few.select("cid").unionByName(many.select("cid")).distinct().join(cands.select("cid", "h"), "cid")
+    sets = docs.select(F.xxhash64("_id").alias("h"), "text").mapInArrow(_sets(send(bitmap(asked, "h", BITS)), size), "cid binary, set binary")
+    sets = stage(sets.groupBy("cid").agg(F.first("set").alias("set")), "join-sets")
     zero = F.lit(0)
-    own = routes.join(small, "leader").join(sets, "cid").withColumns({"block": zero, "salt": zero, "role": zero})
+    own = few.join(sets, "cid").withColumns({"block": zero, "salt": zero, "role": zero})
     found = stage(_searched(own, percent), "join-links").select("a", "b")
     if large.isEmpty():
         return found
 
     salts = F.ceil(F.col("size") / QUERIES).cast("int")
     salt = F.pmod(F.xxhash64("cid"), salts).cast("int")
-    members = stage(routes.join(large, "leader"), "join-members")
-    asked = members.filter("cid <> leader").select("leader", "cid", zero.alias("block"), salt.alias("salt"), F.lit(1).alias("role"))
-    heads = large.select("leader", F.col("leader").alias("cid"), zero.alias("block"), F.explode(F.sequence(zero, salts - 1)).alias("salt"), zero.alias("role"))
+    members, other = many, "c <> leader"
+    asked = members.filter(other).select("leader", "cid", zero.alias("block"), salt.alias("salt"), F.lit(1).alias("role"))
+    heads = members.filter("c = leader").select("leader", "cid", zero.alias("block"), F.explode(F.sequence(zero, salts - 1)).alias("salt"), zero.alias("role"))
     first = stage(_searched(asked.unionByName(heads).join(sets, "cid"), percent), "join-links")
     linked = first.select("leader", F.col("a").alias("cid")).distinct()
-    others = members.filter("cid <> leader").join(linked, ["leader", "cid"], "left_anti")
+    others = members.filter(other).join(linked, ["leader", "cid"], "left_anti")
     counts = others.groupBy("leader").agg(F.count("*").alias("n_others"))
     counts = counts.withColumn("blocks", F.ceil(F.col("n_others") / BLOCK).cast("int")).withColumnRenamed("leader", "l")
     at = F.col("leader") == F.col("l")
