@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -63,6 +64,21 @@ def ship(spark: SparkSession) -> None:
     sc._tessera_shipped = True
 
 
+#: mallopt's M_MMAP_THRESHOLD, and the bytes from which an array is mapped on its own.
+MMAP_THRESHOLD, MAPPED_BYTES = -3, 1 << 20
+_LEAN: list[bool] = []
+
+
+def lean() -> None:
+    """In a Python worker: larger arrays, Arrow's too, go back to the system as soon as they are freed."""
+    if not _LEAN:
+        _LEAN.append(True)
+        pa.set_memory_pool(pa.system_memory_pool())
+        mallopt = getattr(ctypes.CDLL(None), "mallopt", None)  # only where the C library is glibc
+        if mallopt:
+            mallopt(MMAP_THRESHOLD, MAPPED_BYTES)
+
+
 def fold_of(id_col: str = "doc_id"):
     """crc32 of the id as text, modulo 4."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(4))

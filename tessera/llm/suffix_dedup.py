@@ -23,12 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, ship, slices, span_hashes, stage, utf8
+from .common import lean, mix, ship, slices, span_hashes, stage, utf8
 
 THRESHOLD = 50
 GRAM = 24
-#: Bytes of text for each bucket of anchors and for each group of documents.
-BUCKET_BYTES = 8 << 20
+#: Bytes of text for each bucket of anchors and for each group of documents, of which one task holds one.
+BUCKET_BYTES, GROUP_BYTES = 6 << 20, 1 << 20
+#: Bytes of text whose grams are held at once, unless one text has more, and rows of a batch of packed arrays.
+SLICE_BYTES, BATCH_ROWS = 1 << 18, 16
 
 
 class _Depths:
@@ -95,16 +97,22 @@ def _group_of(ids: np.ndarray, groups: int) -> np.ndarray:
     return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
 
+def _in_batches(table: pa.Table) -> pa.Table:
+    """The same rows in small chunks, so that no batch of a whole group crosses to Spark at once."""
+    return pa.Table.from_batches(table.to_batches(max_chunksize=BATCH_ROWS), table.schema)
+
+
 def _ids(column) -> np.ndarray:
     return column.fill_null(-(2**63)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def _emit_anchors(d: _Depths, buckets: int):
     def run(batches):
+        lean()
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             ids = _ids(batch.column("doc_id"))
-            for a, b in slices(offsets, 1 << 20):
+            for a, b in slices(offsets, SLICE_BYTES):
                 _, h, _, _, rows = anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], d)
                 key, (hashes, docs) = _blobs((h % np.uint64(buckets)).astype(np.int64), h, ids[a:b][rows])
                 yield pa.RecordBatch.from_arrays([pa.array(key, pa.int64()), hashes, docs], names=["bucket", "hashes", "docs"])
@@ -114,6 +122,7 @@ def _emit_anchors(d: _Depths, buckets: int):
 
 def _repeated(groups: int):
     def run(table: pa.Table) -> pa.Table:
+        lean()
         h, doc = _joined(table.column("hashes"), np.uint64), _joined(table.column("docs"), np.int64)
         order = np.lexsort((doc, h))
         h, doc = h[order], doc[order]
@@ -135,7 +144,7 @@ def _text_parts(table: pa.Table):
     column = table.column("text").combine_chunks()
     data, offsets = utf8(column)
     ids = _ids(table.column("doc_id").combine_chunks())
-    for a, b in slices(offsets, 1 << 20):
+    for a, b in slices(offsets, SLICE_BYTES):
         part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
         tags = (span_hashes(part, at[:-1], at[1:]) >> np.uint64(32)).astype(np.uint32)
         yield part, at, ids[a:b], tags
@@ -147,6 +156,7 @@ CONTEXT_SCHEMA = "bucket long, hashes binary, docs binary, tags binary, places b
 
 def _emit_contexts(d: _Depths, buckets: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         docs, low = _joined(right.column("docs"), np.int64), _joined(right.column("low"), np.uint32)
         # 64 bits of (document, gram): a false hit is one candidate more
         asked = np.unique(mix(docs.view(np.uint64)) ^ low.astype(np.uint64))
@@ -167,10 +177,12 @@ def _emit_contexts(d: _Depths, buckets: int):
         if not parts:
             return _CONTEXT.empty_table()
         h, doc, tag, place, low_j, high_j, context = (np.concatenate(x) for x in zip(*parts))
+        del parts
         # of equal contexts only the smallest document's goes on; the other documents' windows are repeated
         head = np.stack([h.view(np.int64), low_j.astype(np.int64) * 256 + high_j], 1)
         whole = np.concatenate([head.view(np.uint8).reshape(len(h), 16), context], 1)
         same = np.unique(np.ascontiguousarray(whole).view(f"V{whole.shape[1]}").reshape(-1), return_inverse=True)[1].reshape(-1)
+        del whole, head
         order = np.lexsort((doc, same))
         new = np.concatenate([[True], same[order][1:] != same[order][:-1]])
         least = doc[order][np.flatnonzero(new)][same]
@@ -179,18 +191,19 @@ def _emit_contexts(d: _Depths, buckets: int):
         key, columns = _blobs((h[sent] % np.uint64(buckets)).astype(np.int64), *(x[sent] for x in (h, doc, tag, place, low_j, high_j, context)))
         local = [doc[known], tag[known], (place - high_j.astype(np.int64))[known], (place - low_j + d.threshold)[known]]
         spans = [pa.array([x.tobytes()] + [b""] * (len(key) - 1), pa.binary()) for x in local]  # with the first row
-        return pa.table([pa.array(key, pa.int64()), *columns, *spans], schema=_CONTEXT)
+        return _in_batches(pa.table([pa.array(key, pa.int64()), *columns, *spans], schema=_CONTEXT))
 
     return run
 
 
 def _refined(rank: np.ndarray, digit: np.ndarray) -> np.ndarray:
     """One pass: ranks within groups of equal rank by the next digit."""
-    return np.unique(rank * 256 + digit, return_inverse=True)[1].reshape(-1)
+    return np.unique(rank.astype(np.int64) * 256 + digit, return_inverse=True)[1].reshape(-1).astype(np.int32)
 
 
 def _sort_windows(d: _Depths, groups: int):
     def run(table: pa.Table) -> pa.Table:
+        lean()
         kinds = dict(hashes=np.uint64, docs=np.int64, tags=np.uint32, places=np.int64, lows=np.uint8, highs=np.uint8)
         h, doc, tag, place, low_j, high_j = (_joined(table.column(c), k) for c, k in kinds.items())
         context = _joined(table.column("contexts"), np.uint8).reshape(-1, d.width)
@@ -207,7 +220,7 @@ def _sort_windows(d: _Depths, groups: int):
         for j in range(d.free + 1):
             own = np.flatnonzero((low_j <= j) & (j <= high_j))
             if len(own):
-                key = left[j][own] * (len(doc) + 1) + right[d.free - j][own]
+                key = left[j][own].astype(np.int64) * (len(doc) + 1) + right[d.free - j][own]
                 order = np.lexsort((doc[own], key))
                 k, x = key[order], doc[own][order]
                 new = np.concatenate([[True], k[1:] != k[:-1]])
@@ -231,6 +244,7 @@ RESULT_SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_s
 
 def _remove(with_text: bool):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        lean()
         doc, tag, start, end = (_joined(right.column(c), k) for c, k in (("s_docs", np.int64), ("s_tags", np.uint32), ("s_from", np.uint32), ("s_to", np.uint32)))
         order = np.lexsort((start, tag, doc))
         doc, tag, start, end = doc[order], tag[order], start[order].astype(np.int64), end[order].astype(np.int64)
@@ -276,13 +290,13 @@ def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc
     d = _Depths(threshold)
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    groups = int(max(8, min(total // BUCKET_BYTES, 1 << 20)))
-    sent = docs.mapInArrow(_emit_anchors(d, groups), "bucket long, hashes binary, docs binary")
+    buckets, groups = (int(max(8, min(total // size, 1 << 20))) for size in (BUCKET_BYTES, GROUP_BYTES))
+    sent = docs.mapInArrow(_emit_anchors(d, buckets), "bucket long, hashes binary, docs binary")
     asked = stage(sent.groupBy("bucket").applyInArrow(_repeated(groups), "grp long, docs binary, low binary"), "suffix-asked")
     release(spark)
     # the group of a document, as _group_of has it
     grouped = docs.mapInArrow(_with_group(groups), "grp long, doc_id long, text string")
-    contexts = grouped.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(_emit_contexts(d, groups), CONTEXT_SCHEMA)
+    contexts = grouped.groupBy("grp").cogroup(asked.groupBy("grp")).applyInArrow(_emit_contexts(d, buckets), CONTEXT_SCHEMA)
     spans = stage(contexts.groupBy("bucket").applyInArrow(_sort_windows(d, groups), "grp long, s_docs binary, s_tags binary, s_from binary, s_to binary"), "suffix-spans")
     release(spark)
     return grouped.groupBy("grp").cogroup(spans.groupBy("grp")).applyInArrow(_remove(with_text), RESULT_SCHEMA)
