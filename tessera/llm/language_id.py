@@ -130,7 +130,7 @@ class LanguageModel:
         h, s, e, rows = words(data[: offsets[-1]], offsets, LETTERS)
         _, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         own = self.word_logs(data, s[first], e[first])[inverse]
-        return np.stack([np.bincount(rows, own[:, k], len(texts)) for k in range(len(self.languages))], 1) if len(h) else np.zeros((len(texts), len(self.languages)))
+        return np.stack([np.bincount(rows, own[:, k], len(texts)) for k in range(len(self.languages))], 1) if len(h) and self.languages else np.zeros((len(texts), len(self.languages)))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         logs = self.logs(texts)

@@ -151,7 +151,8 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: st
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold_of(id_col) != 2))
     known = known.groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(sample)
-    texts = df.join(F.broadcast(known), df[id_col] == known["_id"]).select("label", F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
+    texts = docs.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("label", "text")
     found = texts.mapInArrow(_features, "label int, terms binary").limit(2 * sample).toArrow()
     x = np.frombuffer(b"".join(found.column("terms").to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
     return Voter(x, found.column("label").to_numpy())
