@@ -7,15 +7,16 @@ leaves P_(k-1) as it is. The score of a URL is the difference of its log-likelih
 divided by its number of bytes and the end mark. Its threshold is calibrated on held-out ruled URLs: the one
 of the best balanced accuracy.
 
-Every ruled URL is counted, in Spark, so what is gathered grows with the input. What is broadcast is bounded:
-n-grams rarer than the smallest count that leaves MAX_NGRAMS of them are dropped, which shortens contexts
-where they are rare (the variable order), at most 16 bytes each.
+Every ruled URL is counted, in Spark, and every n-gram keeps its counts, in a staged table that no process gathers.
+URLs to score are dealt to slices of SLICE_BYTES; a slice asks the table once for each distinct n-gram of its URLs,
+so a frequent n-gram meets as many rows as there are slices, not URLs. What is gathered is two totals and a histogram.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +24,8 @@ from .common import ship, slices, stage, utf8
 
 ORDER = 5
 MASS = 4.0
-MAX_NGRAMS = 1_000_000
+#: Bytes of URLs that ask for their n-grams together; at most ORDER + 1 n-grams a byte.
+SLICE_BYTES = 1 << 20
 #: Of five ruled URLs one, by hash, is for the threshold and not counted.
 CALIBRATION = 5
 #: Bins of the calibration histogram, over scores from -RANGE to RANGE.
@@ -89,11 +91,36 @@ def _count(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int64)), pa.array(n_all - n_bad), pa.array(n_bad)], names=["gram", "accepted", "rejected"])
 
 
+def _sliced(slice_bytes: int):
+    """Adds the number of a row's slice: the partition's, and the place of the row's first byte in it."""
+
+    def run(batches):
+        begin, base = 0, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            _, offsets = utf8(batch.column("_url"))
+            size = offsets - offsets[0] + np.arange(len(offsets)) * (ORDER + 1)  # with marks, so that empty URLs count too
+            at = base + (begin + size[:-1]) // slice_bytes
+            begin += int(size[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int64())], names=[*batch.schema.names, "slice"])
+
+    return run
+
+
+def _asked(batches):
+    """(url, slice) to the distinct n-grams (slice, gram); a slice that parts of a batch share may ask twice."""
+    for batch in batches:
+        numbers = batch.column("slice").to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], numbers[1:] != numbers[:-1]])) if len(numbers) else []
+        for a, b in zip(starts, [*starts[1:], len(numbers)]):
+            grams = np.unique(np.concatenate(_grams(batch.column("_url").slice(a, b - a))[0]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(grams), numbers[a])), pa.array(grams.astype(np.int64))], names=["slice", "gram"])
+
+
 class UrlModel:
-    """Sorted packed n-grams and their counts in accepted and rejected URLs."""
+    """Sorted packed n-grams and their counts in accepted and rejected URLs: all those that the scored URLs have."""
 
     def __init__(self, grams: np.ndarray, counts: np.ndarray, totals: tuple[int, int]):
-        self.grams, self.counts, self.totals, self.threshold = grams, counts, totals, 0.0
+        self.grams, self.counts, self.totals = grams, counts, totals
 
     def _counts(self, grams: np.ndarray) -> np.ndarray:
         if not len(self.grams):
@@ -118,51 +145,52 @@ class UrlModel:
         return np.bincount(rows, ratio, n) / np.maximum(np.bincount(rows, real, n), 1)
 
 
-def _score(model):
-    def run(batches):
-        for batch in batches:
-            _, offsets = utf8(batch.column("url"))
-            for a, b in slices(offsets, 1 << 20):
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.value.score(part.column("url")))], names=[*part.schema.names, "score"])
+def _score(totals):
+    def run(urls: pa.Table, known: pa.Table) -> pa.Table:
+        keys = known.column("gram").to_numpy().astype(np.uint64)
+        order = np.argsort(keys)
+        counts = np.stack([known.column(c).to_numpy()[order] for c in ("accepted", "rejected")]).astype(np.float64)
+        model, column = UrlModel(keys[order], counts, totals), urls.column("_url").combine_chunks()
+        _, offsets = utf8(column)
+        scores = [model.score(column.slice(a, b - a)) for a, b in slices(offsets, 1 << 18)]
+        return urls.drop_columns(["slice"]).append_column("score", pa.array(np.concatenate([np.zeros(0), *scores])))
 
     return run
 
 
-def fit(ruled: DataFrame, max_ngrams: int = MAX_NGRAMS) -> UrlModel:
-    """ruled: (url, rejected), no nulls."""
-    spark = ruled.sparkSession
-    fold = F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(CALIBRATION))
-    grams = ruled.filter(fold != 0).mapInArrow(_count, "gram long, accepted long, rejected long")
+def count(ruled: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """All n-grams of ruled (url, rejected), without nulls, as (gram, accepted, rejected), and the totals of bytes."""
+    grams = ruled.mapInArrow(_count, "gram long, accepted long, rejected long")
     grams = stage(grams.groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "url-grams")
-    both = F.col("accepted") + F.col("rejected")
-    left, least = 0, 1
-    for r in reversed(grams.groupBy(F.least(both, F.lit(10_000)).alias("n")).count().orderBy("n").collect()):
-        if left + r["count"] > max_ngrams:
-            break
-        left, least = left + r["count"], r["n"]
-    table = grams.filter(both >= least).toArrow()
-    keys = table.column("gram").to_numpy().astype(np.uint64)
-    order = np.argsort(keys)
-    counts = np.stack([table.column(c).to_numpy()[order] for c in ("accepted", "rejected")]).astype(np.float64).reshape(2, -1)
-    keys = keys[order]
-    single = (keys >> np.uint64(56)) == 1
-    single &= (keys & np.uint64(0xFF)) != START
-    model = UrlModel(keys, counts, tuple(counts[:, single].sum(1)))
-    held = ruled.filter(fold == 0).mapInArrow(_score(spark.sparkContext.broadcast(model)), "url string, rejected boolean, score double")
+    single = (F.shiftright("gram", 56) == 1) & (F.col("gram").bitwiseAND(F.lit(0xFF)) != START)
+    sums = grams.filter(single).agg(F.sum("accepted"), F.sum("rejected")).first()
+    return grams, tuple(float(x or 0) for x in sums)
+
+
+def score(urls: DataFrame, grams: DataFrame, totals: tuple[int, int], slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """urls, which has a column _url, with a column score."""
+    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema)
+    dealt = stage(urls.mapInArrow(_sliced(slice_bytes), f"{types}, slice long"), "url-slices")
+    asked = dealt.select("_url", "slice").mapInArrow(_asked, "slice long, gram long")
+    known = asked.join(grams, "gram").select("slice", "gram", "accepted", "rejected")
+    return dealt.groupBy("slice").cogroup(known.groupBy("slice")).applyInArrow(_score(totals), f"{types}, score double")
+
+
+def threshold_of(held: DataFrame) -> float:
+    """The threshold of the best balanced accuracy on held (rejected, score); 0 where one side has no rows."""
     bin_of = F.greatest(F.lit(0), F.least(F.lit(BINS - 1), F.floor((F.col("score") + RANGE) * (BINS / (2 * RANGE)))))
     hist = np.zeros((2, BINS))
     for r in held.groupBy("rejected", bin_of.alias("bin")).count().collect():
         hist[int(r["rejected"]), r["bin"]] = r["count"]
     sums = hist.sum(1)
-    if sums.all():
-        passed = hist[0].cumsum() / sums[0] + 1 - hist[1].cumsum() / sums[1]  # of a threshold at each bin's upper end
-        best = np.flatnonzero(passed >= passed.max() - 1e-12)
-        model.threshold = float((best[len(best) // 2] + 1) * (2 * RANGE / BINS) - RANGE)
-    return model
+    if not sums.all():
+        return 0.0
+    passed = hist[0].cumsum() / sums[0] + 1 - hist[1].cumsum() / sums[1]  # of a threshold at each bin's upper end
+    best = np.flatnonzero(passed >= passed.max() - 1e-12)
+    return float((best[len(best) // 2] + 1) * (2 * RANGE / BINS) - RANGE)
 
 
-def url_filter(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url", max_ngrams: int = MAX_NGRAMS) -> DataFrame:
+def url_filter(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of df: id, host, path, rule, verdict and score.
 
     rules: (allow or block, host, path); a rule fits its host and all subdomains if the path starts with its
@@ -179,13 +207,17 @@ def url_filter(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "
     base = base.select("_id", "_url", host.alias("host"), path.alias("path")).withColumn("_rule", rule)
     blocked = F.array(*[F.lit(a == "block") for a, _, _ in rules]) if rules else F.array().cast("array<boolean>")
     base = base.withColumn("_blocked", F.get(blocked, F.col("_rule")))
-    model = fit(base.filter("_rule is not null and _url is not null").select(F.col("_url").alias("url"), F.col("_blocked").alias("rejected")), max_ngrams)
-    learned = all(model.totals)
-    shared = spark.sparkContext.broadcast(model)
+    fold = F.pmod(F.crc32(F.col("_url").cast("binary")), F.lit(CALIBRATION))
+    learned_from = base.filter("_rule is not null and _url is not null")
+    grams, totals = count(learned_from.filter(fold != 0).select(F.col("_url").alias("url"), F.col("_blocked").alias("rejected")))
+    columns = ["_id", "host", "path", "_url"]
+    # held-out ruled URLs and those without a rule are scored together; only the former have a value in rejected
+    held = learned_from.filter(fold == 0).select(F.lit(None).cast(base.schema["_id"].dataType).alias("_id"), F.lit(None).cast("string").alias("host"), F.lit(None).cast("string").alias("path"), "_url", F.col("_blocked").alias("rejected"))
+    free = base.filter("_rule is null").select(*columns, F.lit(None).cast("boolean").alias("rejected"))
+    scored = stage(score(held.unionByName(free), grams, totals).drop("_url"), "url-scores")
+    threshold = threshold_of(scored.filter("rejected is not null"))
     names = F.array(*[F.lit(h + p) for _, h, p in rules]) if rules else F.array().cast("array<string>")
-    id_type = base.schema["_id"].dataType.simpleString()
     ruled = base.filter("_rule is not null").select(F.col("_id"), "host", "path", F.get(names, F.col("_rule")).alias("rule"), F.when(F.col("_blocked"), "block").otherwise("allow").alias("verdict"), F.lit(None).cast("double").alias("score"))
-    free = base.filter("_rule is null").select("_id", "host", "path", F.col("_url").alias("url")).mapInArrow(_score(shared), f"_id {id_type}, host string, path string, url string, score double")
-    block = (F.col("score") > model.threshold) if learned else F.lit(False)
-    free = free.select("_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(block, "block").otherwise("allow").alias("verdict"), "score")
+    block = (F.col("score") > threshold) if all(totals) else F.lit(False)
+    free = scored.filter("rejected is null").select("_id", "host", "path", F.lit(None).cast("string").alias("rule"), F.when(block, "block").otherwise("allow").alias("verdict"), "score")
     return ruled.unionByName(free).withColumnRenamed("_id", id_col)

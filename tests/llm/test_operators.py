@@ -163,3 +163,32 @@ def test_html_text(spark):
     assert got[1].text == got[2].text == "First & long sentence of the article, with commas, and more.\nSecond one, which is long enough too, is it not."
     assert got[1].n_chars == len(got[1].text) and (got[3].text, got[4].text, got[3].n_chars) == ("", "", 0)
     assert html_text.extract(df.limit(0)).collect() == []
+
+
+def test_url_scores_keep_every_ngram(spark):
+    """Over 1,000,000 distinct n-grams; scores against a plain model that counts them all."""
+    rng = random.Random(3)
+    name = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(n))
+    urls = [f"http://{h}/{name(50)}" for h in ("a.net", "b.org/fr") for _ in range(5000)]
+    free = [u.replace("a.net", "c.example").replace("b.org/fr", "d.example") for u in rng.sample(urls, 40)] + [None, ""]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls + free)], "page_id long, url string")
+    counts, order = [Counter(), Counter()], url_filter.ORDER
+    symbols = lambda u: [url_filter.START] * order + list((u or "").encode()) + [url_filter.END]
+    for u in urls:
+        if zlib.crc32(u.encode()) % url_filter.CALIBRATION:
+            s, own = symbols(u), counts["a.net" in u]
+            own.update(tuple(s[i - k : i + 1]) for k in range(order + 1) for i in range(max(order - 1, k), len(s)))
+            own[()] += len(s) - order
+    assert len(set(counts[0]) | set(counts[1])) > 1_000_000
+    got = {r.page_id: r for r in url_filter.url_filter(df, queries.URL_RULES).collect()}
+    assert len(got) == len(urls) + len(free)
+    for d, u in enumerate(free, len(urls)):
+        s, logs = symbols(u), [0.0, 0.0]
+        for side in (0, 1):
+            for i in range(order, len(s)):
+                p = 1 / 256
+                for k in range(order + 1):
+                    n = counts[side][tuple(s[i - k : i])]
+                    p = (counts[side][tuple(s[i - k : i + 1])] + url_filter.MASS * p) / (n + url_filter.MASS) if n else p
+                logs[side] += np.log(p)
+        assert got[d].score == pytest.approx((logs[1] - logs[0]) / (len(s) - order), abs=1e-9)
