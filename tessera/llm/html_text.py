@@ -1,9 +1,10 @@
 """HTML extraction by consensus host paths.
 
-Each page's containers are scored by the text below them that is no boilerplate and no link; the deepest one
-with most of the page's text is the page's choice. Its generalised path, tags with classes in which digits
-count alike, gets that text's length as a vote for its host, summed in Spark. Each page is then extracted
-again from the containers with its host's winning path, or from its own choice where it has none of them.
+Each page's containers are scored by the text below them that is no boilerplate and no link; the smallest one
+that holds all of the page's is the page's choice, or the article or main around it with no other such text. A first
+heading's links count as text. The choice's generalised path, tags with classes in which digits count alike, gets
+that text's length as a vote for its host, summed in Spark. Each page is then extracted again from the containers
+with its host's winning path if they hold all of that text too, or else from its own choice.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ from .url_filter import split_url
 
 #: Hosts with most votes, whose paths are broadcast: any other host has less than 1/HOT of them.
 HOT = 1024
-#: Share of a page's text that its choice holds at least.
-SHARE = 0.7
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -159,7 +158,7 @@ def parse(page: str):
         name = tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted(set(classes)))
         parent = stack[-1]
         noise = tag in _DROPPED or hidden or (bool(words) and tag not in ("html", "body", "article", "main") and not _NOISE.isdisjoint(words))
-        node = _Node(tag, parent, name, parent.dropped or noise or tag in _RAW, parent.link or tag == "a")
+        node = _Node(tag, parent, name, parent.dropped or noise or tag in _RAW, parent.link or tag == "a" and not any(x.tag == "h1" for x in stack))
         if tag in _RAW:
             if lower is None:
                 lower = page.lower()
@@ -185,19 +184,19 @@ def _last(stack, tag) -> int:
 
 
 def choose(nodes):
-    """The page's choice: the deepest container with most of its text; the earlier one of two."""
+    """The page's choice: the smallest container with all of its text, widened to an article or main that adds
+    only links."""
     total = nodes[0].text
-    best = nodes[0]
-    for x in nodes:
-        if x.tag in _CONTAINER and x.text and x.text >= SHARE * total and x.depth > best.depth:
-            best = x
-    return best
+    whole = [x for x in nodes if x.tag in _CONTAINER and total and x.text == total]
+    named = [x for x in whole if x.tag in ("article", "main")]
+    return max([x for x in named if x.tag == "article"] or named or whole or nodes[:1], key=lambda x: x.depth)
 
 
 def extract_page(page: str | None, path: str | None = None) -> tuple[str, str, int]:
     """Text, the path used and its votes. path: the host's, or None for the page's own choice."""
     nodes, blocks = parse(page or "")
-    if path is not None and any(x.path == path and x.text for x in nodes):
+    # containers of one path don't hold each other, so their texts add up
+    if path is not None and nodes[0].text and sum(x.text for x in nodes if x.path == path) == nodes[0].text:
         inside, used, votes = (lambda x: x.path == path), path, 0
     else:
         own = choose(nodes)

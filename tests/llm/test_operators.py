@@ -192,3 +192,24 @@ def test_url_scores_keep_every_ngram(spark):
                     p = (counts[side][tuple(s[i - k : i + 1])] + url_filter.MASS * p) / (n + url_filter.MASS) if n else p
                 logs[side] += np.log(p)
         assert got[d].score == pytest.approx((logs[1] - logs[0]) / (len(s) - order), abs=1e-9)
+
+
+def test_html_text_keeps_the_whole_article(spark):
+    lead, long, rest = "<p>A lead of the article, here.</p>", "<p>" + "Long text of the article. " * 9 + "</p>", "<p>Some more text that belongs to it.</p>"
+    flat = lambda s: re.sub(" +", " ", re.sub("<[^>]*>", " ", s)).strip()
+    pages = [
+        f"<article><h1><a href=x>Head</a></h1>{lead}<div class=body>{long}</div></article>",
+        f"<article><h1><a href=x>Head</a></h1><div class=body>{lead}{long}</div></article>",
+        f"<div class=post><h1><a href=x>Head</a></h1><div class=body>{lead}{long}</div></div>",
+        f"<article><section>{long}</section><section>{rest}</section></article>",
+        f"<article>{lead}<ul><li>{long}</li></ul></article>",
+        # another template, with a small container of the host's path
+        f"<div class=story>{long}{lead}</div>",
+        f"<div class=story>{lead}</div><div class=other>{long}{rest}</div>",
+    ]
+    rows = [(i, f"http://{'h' if i > 4 else i}/{i}", f"<html><body><nav><a href=x>Menu</a></nav>{p}</body></html>") for i, p in enumerate(pages)]
+    rows += [(9, "http://h/9", rows[5][2])]
+    got = {r.page_id: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i, p in enumerate(pages):
+        assert got[i].text.split() == flat(p).split()
