@@ -32,13 +32,14 @@ _BLOCK = set(
 )
 _CONTAINER = set("html body article section main div td table center blockquote dl ul ol".split())
 _DROPPED = set("head nav header footer aside form button select option input label fieldset menu dialog svg canvas object audio video map iframe search".split())
-#: Class, id and role words of what is no article text.
+#: Class, id and role names of what is no article text: a whole name, or one of these words and _PLAIN alone (site-footer).
 _NOISE = set(
     """ad ads adv advert adverts advertisement advertising adbox adsense banner sponsor sponsored promo promotion promoted sidebar side aside
     menu nav navbar navigation breadcrumb breadcrumbs toc header masthead topbar footer foot bottom copyright legal comment comments reply replies discussion
     disqus respond notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe subscription signup login social share sharing
     related recommended recommendations widget widgets search pagination pager skip hidden complementary contentinfo""".split()
 )
+_PLAIN = {"", "site", "global"}
 #: What an open element is closed by.
 _CLOSED_BY = {
     "p": _BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot", "thead"}, "td": {"td", "th", "tr", "tbody", "tfoot"},
@@ -49,17 +50,22 @@ _SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td":
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "path", "dropped", "link", "text", "depth")
+    __slots__ = ("tag", "parent", "path", "dropped", "noise", "link", "text", "depth")
 
-    def __init__(self, tag, parent, name, dropped, link):
+    def __init__(self, tag, parent, name, dropped, noise, link):
         self.tag, self.parent = tag, parent
         self.path = f"{parent.path}>{name}" if parent and parent.path else name
-        self.dropped, self.link, self.text, self.depth = dropped, link, 0, parent.depth + 1 if parent else 0
+        self.dropped, self.noise, self.link, self.text, self.depth = dropped, noise, link, 0, parent.depth + 1 if parent else 0
 
 
-def _words_of(attributes: str) -> tuple[list[str], set[str], bool]:
-    """Classes; words of class, id and role; whether hidden."""
-    classes, words, hidden = [], set(), False
+def _is_noise(name: str) -> bool:
+    words = set(re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()))
+    return not words <= _PLAIN and words <= _NOISE | _PLAIN
+
+
+def _names_of(attributes: str) -> tuple[list[str], bool, bool]:
+    """Classes; whether a name of class, id or role is noise; whether hidden."""
+    classes, noise, hidden = [], False, False
     if "=" in attributes or "hidden" in attributes:
         for key, *values in _ATTRIBUTE.findall(attributes):
             value, key = next((v for v in values if v), ""), key.lower()
@@ -67,40 +73,87 @@ def _words_of(attributes: str) -> tuple[list[str], set[str], bool]:
                 classes = value.split()
             if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
                 hidden = True
-            words |= {w for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower()) if w}
-    return classes, words, hidden
+            if key in ("class", "id", "role"):
+                noise = noise or any(map(_is_noise, value.split()))
+    return classes, noise, hidden
 
 
 def parse(page: str):
-    """The text blocks of a page in order, as (node, text), and its nodes; lenient to missing and crossed tags."""
-    root = _Node("", None, "", False, False)
-    stack, nodes, blocks, buffer, at, n = [root], [root], [], [], 0, len(page)
-    lower = None
-    owner = root
-    links = 0
+    """The text blocks of a page in order, as (node, text), and its nodes; lenient to missing and crossed tags.
 
-    def flush():
-        nonlocal buffer, links
-        text = " ".join(_html.unescape("".join(buffer)).split()) if buffer else ""
+    Elements with a noise name go with all below them, but not one that holds a main, or an article that is in no
+    other one, or over half of the page's text where no article or main stands beside it; nor any if no text would be left.
+    """
+    nodes, buffers = _scan(page)
+    named = [x for x in nodes if x.noise and not x.dropped]
+    blocks = _blocks(buffers, set())
+    if named:
+        total, spared, homes = nodes[0].text, set(), []
+        for x in nodes:
+            if x.tag in ("article", "main") and not x.dropped:
+                above = _above(x)
+                if x.tag == "main" or all(a.tag != "article" for a in above):
+                    spared.update(above)
+                if x.text and not any(a.noise for a in above):
+                    homes.append(x)
+        for x in named:
+            if 2 * x.text > total and set(homes) <= set(_above(x)):
+                spared.add(x)
+        noise = {x for x in named if x not in spared}
+        for x in nodes:  # parents come first
+            if x.parent in noise:
+                noise.add(x)
+        if noise:
+            for x in nodes:
+                x.text = 0
+            blocks = _blocks(buffers, noise)
+            if not blocks:
+                blocks = _blocks(buffers, set())
+    return nodes, blocks
+
+
+def _above(node) -> list:
+    out = []
+    while (node := node.parent) is not None:
+        out.append(node)
+    return out
+
+
+def _blocks(buffers, noise):
+    """The blocks of buffers of (node, text) without what is in noise; adds their weights to the nodes."""
+    blocks = []
+    for buffer in buffers:
+        kept = [(x, t) for x, t in buffer if x not in noise] if noise else buffer
+        text = " ".join(_html.unescape("".join(t for _, t in kept)).split())
         if text:
+            owner = kept[0][0]
+            while owner.tag not in _BLOCK and owner.parent is not None:
+                owner = owner.parent
             blocks.append((owner, text))
-            weight = max(0, len(text) - 2 * links)
+            weight = max(0, len(text) - 2 * sum(len(t) for x, t in kept if x.link))
             node = owner
             while node is not None:
                 node.text += weight
                 node = node.parent
-        buffer, links = [], 0
+    return blocks
+
+
+def _scan(page: str):
+    """The nodes of a page, and for each block its texts as (node, text)."""
+    root = _Node("", None, "", False, False, False)
+    stack, nodes, buffers, buffer, at, n = [root], [root], [], [], 0, len(page)
+    lower = None
+
+    def flush():
+        nonlocal buffer
+        if buffer:
+            buffers.append(buffer)
+        buffer = []
 
     def add(text):
-        nonlocal owner, links
         top = stack[-1]
-        if top.dropped or not text:
-            return
-        if not buffer:
-            owner = next(x for x in reversed(stack) if x.tag in _BLOCK or x is root)
-        buffer.append(text)
-        if top.link:
-            links += len(text)
+        if text and not top.dropped:
+            buffer.append((top, text))
 
     while at < n:
         lt = page.find("<", at)
@@ -154,11 +207,11 @@ def parse(page: str):
             continue
         if tag in _VOID:
             continue
-        classes, words, hidden = _words_of(m[3]) if m[3] else ([], (), False)
+        classes, named, hidden = _names_of(m[3]) if m[3] else ([], False, False)
         name = tag + "".join("." + re.sub(r"\d+", "0", c) for c in sorted(set(classes)))
         parent = stack[-1]
-        noise = tag in _DROPPED or hidden or (bool(words) and tag not in ("html", "body", "article", "main") and not _NOISE.isdisjoint(words))
-        node = _Node(tag, parent, name, parent.dropped or noise or tag in _RAW, parent.link or tag == "a" and not any(x.tag == "h1" for x in stack))
+        noise = named and tag not in ("html", "body", "article", "main", "h1")
+        node = _Node(tag, parent, name, parent.dropped or tag in _DROPPED or hidden or tag in _RAW, noise, parent.link or tag == "a" and not any(x.tag == "h1" for x in stack))
         if tag in _RAW:
             if lower is None:
                 lower = page.lower()
@@ -173,7 +226,7 @@ def parse(page: str):
         stack.append(node)
         nodes.append(node)
     flush()
-    return nodes, blocks
+    return nodes, buffers
 
 
 _INLINE = set("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strong sub sup time tt u var big strike".split())

@@ -213,3 +213,24 @@ def test_html_text_keeps_the_whole_article(spark):
     assert len(got) == len(rows)
     for i, p in enumerate(pages):
         assert got[i].text.split() == flat(p).split()
+
+
+def test_html_text_of_wrappers_with_noise_words():
+    body, menu = "<p>" + "Text of the article. " * 9 + "</p>", "<div class='site-footer'>Foot</div><div id=adBanner>Ad</div><div class='x promo'>Buy</div>"
+    text = lambda page: html_text.extract_page(f"<html><body>{page}</body></html>")
+    want = ("Text of the article. " * 9).strip()
+    for attributes in ("class='content no-sidebar'", "id=page-with-footer", "class=search-result-article", "class=promo", "role=banner"):
+        assert text(f"<div {attributes}>{body}</div>{menu}")[0] == want
+        assert text(f"<div {attributes}>{body}</div>{menu}")[2] > 0
+        # little text, but an article or main of its own
+        for tag in ("article", "main"):
+            assert "Short." in text(f"<div {attributes}><{tag}><p>Short.</p></{tag}></div><div>{body}</div>{menu}")[0]
+    assert text(f"<h1 class=post-header>Head</h1>{body}{menu}")[0] == "Head\n" + want
+    assert text(f"<h1 class=header>Head</h1>{body}{menu}")[0] == "Head\n" + want
+    # comments stay out, as articles inside the article too
+    assert text(f"<article>{body}<div class=comments><article>Nice.</article></div></article>{menu}")[0] == want
+    # an advertisement longer than the article beside it
+    assert text(f"<div class=ad>{body}</div><article><p>Short.</p></article>{menu}")[0] == "Short."
+    # without a text beside names of noise, names are no reason
+    assert text("<div class=promo>One</div><div class=notice>Two</div>")[0] == "One\nTwo"
+    assert text(f"<p>In <span class=ad>Ad</span> line</p>{body}")[0] == "In line\n" + want
