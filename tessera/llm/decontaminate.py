@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, WORD_CHAR, ship, slices, utf8, words
+from .common import LOWER, WORD_CHAR, ship, slices, stage, utf8, words
 
 WINDOW = 13
 #: Bytes of text of a shard.
@@ -230,8 +230,8 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     Words are runs of ASCII digits, a-z (A-Z lower-cased) and all that is not ASCII. A window is window
     consecutive words of an item, or all words of a shorter item. Null texts have no words; items without an id
     or words are ignored; rows of one item id count as one item. An empty benchmark hits nothing, an empty df
-    gives no rows. A benchmark of over block_bytes is searched in blocks, one pass each, and then ids of df must be
-    unique.
+    gives no rows. A benchmark of over block_bytes is searched in blocks, one pass each, over staged rows with keys of
+    their own, so null and repeated ids give the same rows as in one block.
     """
     spark = df.sparkSession
     ship(spark)
@@ -241,41 +241,48 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     kind = docs.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, n_words long, n_hit long, spans array<struct<start:bigint,end:bigint>>, items array<string>"
+    rows = docs
+    if blocks > 1:
+        keyed = stage(docs.withColumn("_key", F.monotonically_increasing_id()), "decontaminate-docs")
+        rows = keyed.select(F.col("_key").alias("_id"), "text")
     found = []
     for k in range(blocks):
         own = items.filter(F.pmod(F.xxhash64("item"), F.lit(blocks)) == k).collect()
-        found.append(docs.mapInArrow(_search(spark.sparkContext.broadcast(Benchmark([tuple(r) for r in own], window))), schema))
+        found.append(rows.mapInArrow(_search(spark.sparkContext.broadcast(Benchmark([tuple(r) for r in own], window))), schema if blocks == 1 else schema.replace(f"_id {kind}", "_id long", 1)))
     if blocks == 1:
         return found[0].withColumnRenamed("_id", id_col)
-    return _merged(found, docs, schema).withColumnRenamed("_id", id_col)
+    return _merged(found, keyed, schema).withColumnRenamed("_id", id_col)
 
 
-def _merged(found: list[DataFrame], docs: DataFrame, schema: str) -> DataFrame:
-    """The blocks' results of a document in one: spans and hit words of the union."""
+def _merged(found: list[DataFrame], keyed: DataFrame, schema: str) -> DataFrame:
+    """The blocks' results (_id: the row's _key) of a row in one: spans and hit words of the union."""
 
     def words_of(batches):
         for batch in batches:
-            out = []
-            for r in batch.to_pylist():
+            hits, spans = [], []
+            for text, own in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist()):
+                data = np.frombuffer((text or "").encode(), np.uint8)
+                _, starts, ends, _ = words(LOWER[data], np.array([0, len(data)]), WORD_CHAR)
+                # in words, as spans of consecutive words are one
                 merged: list[list[int]] = []
-                for s in sorted((s["start"], s["end"]) for s in r["spans"]):
-                    if merged and s[0] <= merged[-1][1]:
-                        merged[-1][1] = max(merged[-1][1], s[1])
+                for a, b in sorted((int(np.searchsorted(starts, x["start"])), int(np.searchsorted(starts, x["end"]))) for x in own):
+                    if merged and a <= merged[-1][1]:
+                        merged[-1][1] = max(merged[-1][1], b)
                     else:
-                        merged.append(list(s))
-                data = np.frombuffer((r["text"] or "").encode(), np.uint8)
-                _, starts, _, _ = words(LOWER[data], np.array([0, len(data)]), WORD_CHAR)
-                hit = sum(int(np.searchsorted(starts, b) - np.searchsorted(starts, a)) for a, b in merged)
-                out.append({"_id": r["_id"], "n_words": r["n_words"], "n_hit": hit, "spans": [{"start": a, "end": b} for a, b in merged], "items": r["items"]})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([batch.schema.field("_id"), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", _SPANS), ("items", pa.list_(pa.string()))]))
+                        merged.append([a, b])
+                hits.append(sum(b - a for a, b in merged))
+                spans.append([{"start": int(starts[a]), "end": int(ends[b - 1])} for a, b in merged])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("_id"), batch.column("n_words"), pa.array(hits, pa.int64()), pa.array(spans, _SPANS), batch.column("items")], names=["_id", "n_words", "n_hit", "spans", "items"]
+            )
 
     union = found[0]
     for f in found[1:]:
         union = union.unionByName(f)
-    union = union.groupBy("_id").agg(
+    union = union.groupBy(F.col("_id").alias("_key")).agg(
         F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
     )
-    return union.join(docs, "_id").mapInArrow(words_of, schema)
+    return keyed.join(union, "_key").select("_id", "text", "n_words", "spans", "items").mapInArrow(words_of, schema)
 
 
 def contaminated():

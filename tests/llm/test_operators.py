@@ -234,3 +234,16 @@ def test_html_text_of_wrappers_with_noise_words():
     # without a text beside names of noise, names are no reason
     assert text("<div class=promo>One</div><div class=notice>Two</div>")[0] == "One\nTwo"
     assert text(f"<p>In <span class=ad>Ad</span> line</p>{body}")[0] == "In line\n" + want
+
+
+def test_decontamination_in_blocks_equals_one_block(spark):
+    rng = random.Random(4)
+    items = [(f"i{k}", " ".join(rng.choice("abcd") for _ in range(n))) for k, n in enumerate([3, 5, 7, 13, 14, 20, 30])]
+    texts = [" - ".join(rng.choice(items)[1] for _ in range(k % 4)) + " z" * (k % 3) for k in range(30)]
+    # null and repeated ids, of unlike and of equal texts
+    rows = [(None if k % 5 == 0 else k // 3, t, None, None, 0, "k", "h") for k, t in enumerate([*texts, *texts[:9], None, ""])]
+    bench, docs = spark.createDataFrame(items, "item_id string, text string"), documents(spark, rows)
+    plain = lambda found: sorted(map(repr, found.collect()))
+    one, many = decontaminate.find(docs, bench), decontaminate.find(docs, bench, block_bytes=40)
+    assert many.schema == one.schema and plain(many) == plain(one) and len(plain(one)) == len(rows)
+    assert decontaminate.find(docs.limit(0), bench, block_bytes=40).collect() == []
