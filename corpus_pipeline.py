@@ -13,6 +13,10 @@ from tessera.llm import decontaminate, language_id, mixing, ngram_join, queries
 from tessera.llm.common import stage, table
 
 
+#: Words of a shingle and the least Jaccard similarity, in per cent, of near copies; op2 has constants of its own.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
+
+
 def _with_rows(docs: DataFrame) -> DataFrame:
     """The whole row as the id of what the operator returns: no join by id and no shuffle of texts."""
     return docs.select(F.struct(*docs.columns).alias("_row"), "text")
@@ -25,8 +29,8 @@ def keep_known_languages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of links."""
-    return ngram_join.keep_one(docs)
+    """One document, that of the smallest id, of each component of links: near copies by NEAR_WORDS and NEAR_PERCENT."""
+    return ngram_join.keep_one(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

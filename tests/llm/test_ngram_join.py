@@ -80,3 +80,19 @@ def test_empty_table(spark):
 def test_keep_one(spark):
     df = spark.createDataFrame([(5, "a b c d", "x", 1), (3, "A b c d", "x", 1), (9, None, "x", 1), (None, "a b c d", "x", 1)], SCHEMA)
     assert sorted((r[0] or 0) for r in ngram_join.keep_one(df).collect()) == [0, 3, 9]
+
+
+def test_pipeline_drops_near_copies_of_five_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    text = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    a, b, c = text(400), text(400), text(400)
+    spread = [w if i % 60 else "new" for i, w in enumerate(b)]  # about 1.75 % of the words
+    rows = [(1, a), (2, a + text(60)), (3, b), (4, spread), (5, c), (6, c + text(110)), (None, a)]
+    rows = [(d, " ".join(w)) for d, w in rows]
+    near = lambda i, j, size, percent: len({k[2] for k in brute([rows[i], rows[j]], size, percent)}) == 1
+    assert [near(i, i + 1, 5, 80) for i in (0, 2, 4)] == [True, True, False] and not near(0, 1, 3, 90) and not near(4, 5, 3, 90)
+    df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
+    kept = corpus_pipeline.drop_near_copies(spark, df, "")
+    assert kept.columns == df.columns and sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 3, 5, 6]
