@@ -143,11 +143,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[starts[i]:ends[i]], equal for equal bytes."""
-    up, down = _powers(len(data) + 1)
+def span_sums(data: np.ndarray) -> np.ndarray:
+    """What span_hashes sums up, for several calls on the same data."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_CODE[data] * up[: len(data)], out=sums[1:])
+    np.cumsum(BYTE_CODE[data] * _powers(len(data) + 1)[0][: len(data)], out=sums[1:])
+    return sums
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of data[starts[i]:ends[i]], equal for equal bytes."""
+    down = _powers(len(data) + 1)[1]
+    sums = span_sums(data) if sums is None else sums
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

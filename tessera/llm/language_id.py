@@ -15,13 +15,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, held_out, ship, slices, span_hashes, utf8, words
+from .common import fold_of, held_out, ship, slices, span_hashes, span_sums, utf8, words
 
 #: Documents that the model is fitted on, about; each language has an equal part.
 SAMPLE = 2000
 ITERATIONS = 4
-#: Characters of a piece at most, and of a block of a longer word: no piece crosses the border of two blocks.
-LONGEST, BLOCK = 8, 24
+#: Characters after which sums over segmentations are scaled, so that those of long words don't underflow.
+SCALED = 16
+#: Characters of words whose sums are held at once, about.
+CELLS = 500_000
 SMOOTHING = 0.5
 UNDETERMINED = "und"
 #: Bits of a table that tells most strings that are no piece.
@@ -39,7 +41,7 @@ def vocabulary(path: str) -> list[str]:
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = (sp.id_to_piece(i).replace("▁", "").lower() for i in range(sp.get_piece_size()) if not (sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i)))
-    return sorted({p for p in pieces if p and len(p) <= LONGEST and LETTERS[np.frombuffer(p.encode(), np.uint8)].all()})
+    return sorted({p for p in pieces if p and LETTERS[np.frombuffer(p.encode(), np.uint8)].all()})
 
 
 class Pieces:
@@ -50,6 +52,7 @@ class Pieces:
         h = span_hashes(data, offsets[:-1], offsets[1:]) if len(pieces) else np.zeros(0, np.uint64)
         self.hashes = np.sort(h)
         self.size = len(h) + 1
+        self.longest = max(map(len, pieces), default=1)
         self.sieve = np.zeros(SIEVE, bool)
         self.sieve[(h % np.uint64(SIEVE)).astype(np.int64)] = True
 
@@ -64,53 +67,51 @@ class Pieces:
         return out
 
     def lattices(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
-        """Blocks of the words data[starts:ends], by their number of characters: for each number n the words'
-        indexes and an array (block, from character, characters - 1) of piece numbers, -1 for none."""
+        """The words data[starts:ends] by their number of characters: for each number n the words' indexes and an
+        array (word, from character, characters - 1) of piece numbers, -1 for none."""
         is_char = (data & 0xC0) != 0x80
         chars = np.concatenate([[0], np.cumsum(is_char)])
         begin = np.append(np.flatnonzero(is_char), len(data))  # byte of each character
-        first, last = chars[starts], chars[ends]
-        blocks = np.maximum(1, -(-(last - first) // BLOCK))
-        word = np.repeat(np.arange(len(starts)), blocks)
-        k = np.arange(len(word)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        a = first[word] + k * BLOCK
-        n = np.minimum(a + BLOCK, last[word]) - a
+        first, n, sums = chars[starts], chars[ends] - chars[starts], span_sums(data)
         for size in np.unique(n[n > 0]).tolist():
             own = np.flatnonzero(n == size)
-            grid = np.full((len(own), size, min(LONGEST, size)), -1, np.int32)
-            for i in range(size):
-                for j in range(min(LONGEST, size - i)):
-                    s = a[own] + i
-                    found = self.number(span_hashes(data, begin[s], begin[s + j + 1]))
-                    grid[:, i, j] = np.where(found < 0, 0, found) if j == 0 else found
-            yield word[own], grid
+            for at in range(0, len(own), max(1, CELLS // size)):
+                word = own[at : at + max(1, CELLS // size)]
+                grid = np.full((len(word), size, min(self.longest, size)), -1, np.int32)
+                for j in range(grid.shape[2]):
+                    s = (first[word][:, None] + np.arange(size - j)).ravel()
+                    found = self.number(span_hashes(data, begin[s], begin[s + j + 1], sums)).reshape(len(word), -1)
+                    grid[:, : size - j, j] = np.where(found < 0, 0, found) if j == 0 else found
+                yield word, grid
 
 
 def forward(grid: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Sums over segmentations: (block, character, language), [:, 0] is 1. p: (piece, language)."""
+    """Logs of sums over segmentations: (word, character, language), [:, 0] is 0. p: (piece, language)."""
     b, n, longest = grid.shape
     alpha = np.zeros((b, n + 1, p.shape[1]))
     alpha[:, 0] = 1
+    scale, total = np.zeros_like(alpha), np.zeros((b, p.shape[1]))
     for e in range(1, n + 1):
         for j in range(min(longest, e)):
             g = grid[:, e - 1 - j, j]
             own = np.flatnonzero(g >= 0)
             if len(own):
                 alpha[own, e] += alpha[own, e - 1 - j] * p[g[own]]
-    return alpha
+        scale[:, e] = total
+        if e % SCALED == 0:  # all that later characters look back to is divided by the last sum
+            window, by = slice(max(0, e + 1 - longest), e + 1), alpha[:, e].copy()
+            alpha[:, window] /= by[:, None]
+            scale[:, window] += np.log(by)[:, None]
+            total = total + np.log(by)
+    return np.log(alpha) + scale
 
 
 def backward(grid: np.ndarray, p: np.ndarray) -> np.ndarray:
-    b, n, longest = grid.shape
-    beta = np.zeros((b, n + 1, p.shape[1]))
-    beta[:, n] = 1
-    for i in range(n - 1, -1, -1):
-        for j in range(min(longest, n - i)):
-            g = grid[:, i, j]
-            own = np.flatnonzero(g >= 0)
-            if len(own):
-                beta[own, i] += beta[own, i + j + 1] * p[g[own]]
-    return beta
+    mirrored = np.full_like(grid, -1)
+    n = grid.shape[1]
+    for j in range(grid.shape[2]):
+        mirrored[:, : n - j, j] = grid[:, : n - j, j][:, ::-1]
+    return forward(mirrored, p)[:, ::-1]
 
 
 class LanguageModel:
@@ -120,8 +121,7 @@ class LanguageModel:
     def word_logs(self, data, starts, ends) -> np.ndarray:
         out = np.zeros((len(starts), len(self.languages)))
         for word, grid in self.pieces.lattices(data, starts, ends):
-            for a in range(0, len(word), 50_000):
-                np.add.at(out, word[a : a + 50_000], np.log(forward(grid[a : a + 50_000], self.p)[:, -1]))
+            out[word] = forward(grid, self.p)[:, -1]
         return out
 
     def logs(self, texts: list[str | None]) -> np.ndarray:
@@ -178,22 +178,20 @@ def _maximise(pieces: Pieces, data, offsets, lang, n, n_languages: int) -> np.nd
     lattices = list(pieces.lattices(data, offsets[:-1], offsets[1:]))
     for _ in range(ITERATIONS):
         expected = np.zeros((pieces.size, n_languages))
-        for word, grid in lattices:
-            for a in range(0, len(word), 20_000):
-                g, w = grid[a : a + 20_000], word[a : a + 20_000]
-                # each row counts for its own language alone
-                weight = np.zeros((len(w), n_languages))
-                weight[np.arange(len(w)), lang[w]] = n[w]
-                alpha, beta = forward(g, p), backward(g, p)
-                weight /= alpha[:, -1]
-                for i in range(g.shape[1]):
-                    for j in range(min(g.shape[2], g.shape[1] - i)):
-                        own = np.flatnonzero(g[:, i, j] >= 0)
-                        if len(own):
-                            u = g[own, i, j]
-                            x = alpha[own, i] * p[u] * beta[own, i + j + 1] * weight[own]
-                            for k in range(n_languages):
-                                expected[:, k] += np.bincount(u, x[:, k], pieces.size)
+        for w, g in lattices:
+            # each row counts for its own language alone
+            weight = np.zeros((len(w), n_languages))
+            weight[np.arange(len(w)), lang[w]] = n[w]
+            alpha, beta = forward(g, p), backward(g, p)
+            beta -= alpha[:, -1:]
+            for i in range(g.shape[1]):
+                for j in range(min(g.shape[2], g.shape[1] - i)):
+                    own = np.flatnonzero(g[:, i, j] >= 0)
+                    if len(own):
+                        u = g[own, i, j]
+                        x = np.exp(alpha[own, i] + beta[own, i + j + 1]) * p[u] * weight[own]
+                        for k in range(n_languages):
+                            expected[:, k] += np.bincount(u, x[:, k], pieces.size)
         expected += SMOOTHING
         p = expected / expected.sum(0)
     return p

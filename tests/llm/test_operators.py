@@ -247,3 +247,21 @@ def test_decontamination_in_blocks_equals_one_block(spark):
     one, many = decontaminate.find(docs, bench), decontaminate.find(docs, bench, block_bytes=40)
     assert many.schema == one.schema and plain(many) == plain(one) and len(plain(one)) == len(rows)
     assert decontaminate.find(docs.limit(0), bench, block_bytes=40).collect() == []
+
+
+def test_forward_crosses_long_words_and_pieces():
+    """Pieces of over 8 characters, words of over 24, and a word whose probability has no float of its own."""
+    names = ["a", "b", "ab", "abababababab", "bb"]
+    pieces = language_id.Pieces(names)
+    p = np.random.default_rng(2).random((pieces.size, 2)) / 10
+    number = {s: int(pieces.number(language_id.span_hashes(np.frombuffer(s.encode(), np.uint8), np.array([0]), np.array([len(s)])))[0]) for s in names}
+    model = language_id.LanguageModel(["x", "y"], pieces, p)
+    for word in ("ab" * 6, "ab" * 17 + "b", "bab" * 13 + "c", "ab" * 1500):
+        logs = [np.zeros(2)]
+        for e in range(1, len(word) + 1):
+            ways = [logs[e - len(s)] + np.log(p[number[s]]) for s in names if word[:e].endswith(s)] or [logs[e - 1] + np.log(p[0])]
+            logs.append(np.logaddexp.reduce(ways))
+        assert model.logs([word])[0] == pytest.approx(logs[-1])
+    assert max(map(len, language_id.vocabulary(queries.tokenizer_path("piece_bpe_32k.model")))) > 8
+    data, offsets = np.frombuffer(("ab" * 1500).encode(), np.uint8), np.array([0, 3000])
+    assert np.isfinite(language_id._maximise(pieces, data, offsets, np.array([0]), np.array([1]), 2)).all()
