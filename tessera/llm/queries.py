@@ -71,4 +71,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_ngram_join": ngram_join.SQL, "op3_exact_dedup": exact_dedup.SQL, "op6_decontaminate": decontaminate.SQL}
+    return {"op2_ngram_join": ngram_join.SQL, "op3_exact_dedup": exact_dedup.SQL, "op6_decontaminate": decontaminate.SQL, "op9_suffix_dedup": suffix_dedup.SQL}

@@ -26,6 +26,10 @@ def brute(rows, threshold):
     return sorted(out)
 
 
+def as_null(rows):
+    return sorted((-(2**63) if r[0] is None else r[0], *r[1:5]) for r in rows)
+
+
 def got(spark, rows, threshold=50):
     df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], SCHEMA)
     return [tuple(r) for r in suffix_dedup.remove_repeats(df, threshold).collect()]
@@ -49,7 +53,9 @@ def corpus():
 def test_equals_brute_force(spark):
     rows = corpus()
     for threshold in (50, 16):
-        assert sorted(r[:5] for r in got(spark, rows, threshold)) == brute(rows, threshold)
+        out = got(spark, rows, threshold)
+        assert as_null(out) == brute(rows, threshold)
+        assert sum(r[0] is None for r in out) == 1  # a null id comes back as null
 
 
 def test_text_and_spans_agree(spark):
@@ -61,3 +67,29 @@ def test_text_and_spans_agree(spark):
 
 def test_empty_table(spark):
     assert got(spark, []) == []
+
+
+def test_copies_that_are_broadcast_and_not(spark, monkeypatch):
+    """One text of two with copies is broadcast; groups and buckets of a few bytes."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 64)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_BYTES", 64)
+    rng = random.Random(5)
+    a, b = ("".join(rng.choice("abcdefgh ") for _ in range(200)) for _ in range(2))
+    texts = [a] * 6 + [b] * 3 + ["x" + a, b + "y", a[:80] + b[:70], "short"] + ["short"] * 3 + [None, ""]
+    rows = [(i // 2 if i % 5 else None, t) for i, t in enumerate(texts)]
+    assert as_null(got(spark, rows)) == brute(rows, 50)
+
+
+def test_ranks_count_and_drop():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    group, context = rng.integers(0, 3, 500), rng.integers(0, 256, (500, 3)).astype(np.uint8) // 60
+    for depth, rank in enumerate(suffix_dedup._ranks(group, [context[:, k] for k in range(3)])):
+        keys = [(g, *c[:depth]) for g, c in zip(group.tolist(), context.tolist())]
+        order = sorted({k for k in keys if not depth or keys.count(k) > 1})
+        for k, r in zip(keys, rank.tolist()):
+            assert (r >= 0) == (not depth or keys.count(k) > 1)
+        known = [(k, r) for k, r in zip(keys, rank.tolist()) if r >= 0]
+        assert len({r for _, r in known}) == len(order) and sorted(known) == sorted(known, key=lambda x: x[1])
