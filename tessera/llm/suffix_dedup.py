@@ -92,8 +92,10 @@ def _blobs(key: np.ndarray, *columns: np.ndarray):
     out = []
     for c in columns:
         c = np.ascontiguousarray(c[order])
-        raw, w = memoryview(c.view(np.uint8).reshape(-1)), c.dtype.itemsize * (c.shape[1] if c.ndim > 1 else 1)
-        out.append(pa.array([raw[a * w : b * w] for a, b in zip(starts.tolist(), ends.tolist())], pa.binary()))
+        width = c.dtype.itemsize * (c.shape[1] if c.ndim > 1 else 1)
+        at = (np.append(starts, len(key)) * width).astype(np.int64)
+        # from its buffers: an array made of memoryviews would never free them
+        out.append(pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(c)]).cast(pa.binary()))
     return key[starts], out
 
 
