@@ -40,6 +40,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unstage(df: DataFrame) -> None:
+    """Deletes the folder that stage() wrote df to, once nothing reads it any more."""
+    spark = df.sparkSession
+    files = df.inputFiles()
+    if files and "/tessera-stage/" in files[0]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Bytes that Spark gathers for one Arrow batch; long texts times Spark's own row count would take far more.
 BATCH_BYTES = 4 << 20
 

@@ -1,12 +1,13 @@
 """N-gram Jaccard join by T-occurrence search (DivideSkip), and the components of its links.
 
-Documents with equal shingle sets are one class. A class's prefix (the first n - ceil(t * n) + 1 shingles in one
-global order, about rarest first) must share a shingle with the prefix of any class it links to, so classes
-meet under the keys (shingle, size class), and each key routes its classes to its leader, the smallest of them.
-A leader's group is searched with whole sets: its inverted lists are parted into long and short ones, the short
-ones are heap-merged, what occurs often enough in them is binary-probed in the long ones, and what reaches the
-required overlap is checked exactly. A group of over BLOCK classes is first searched for links to its leader;
-the linked are one component then, and only the others are indexed, in blocks, and searched for by all.
+Documents with equal shingle sets are one class. Classes are routed to search groups by parts of their sets: a level
+of sizes has one number of parts, more than a link's two sets can differ in, so two linked sets agree in at least one
+whole part, and a part that two classes have alike is rarely a chance. A part two classes share routes both to its
+leader, the smallest class with it. A leader's group is searched with whole sets: its inverted lists are parted into
+long and short ones, the short ones are heap-merged, what occurs often enough in them is binary-probed in the long
+ones, and what reaches the required overlap is checked exactly; documents that are already in the asker's component
+are skipped. A group of over GROUP_BYTES of sets is first searched for links to its leader; the linked are one
+component then, and only the others are indexed, in blocks of GROUP_BYTES, and searched for by all.
 """
 
 from __future__ import annotations
@@ -20,19 +21,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, mix, ship, slices, stage, utf8, words
+from .common import LOWER, NOT_SPACE, mix, ship, slices, stage, unstage, utf8, words
 
 SHINGLE = 3
 PERCENT = 90
-#: Classes of an index block, and about how many queries one task puts to it.
-BLOCK, QUERIES = 256, 4096
-#: Cells of the table of shingle counts that the global order is taken from: a fixed size; any order gives the same links.
-CELLS = 1 << 18
-#: Cells of the broadcast bitmaps of classes and of keys (2 MB and 16 MB, whatever the input's size).
-BITS, KEY_BITS = 1 << 24, 1 << 27
+#: Bytes of sets of an index block, and about how many queries one task puts to it.
+GROUP_BYTES, QUERIES = 16 << 20, 4096
+#: Ratio of the sizes of a level.
+LEVEL = 1.5
+#: Most cells of the broadcast bitmaps of classes, keys and rows (32 MB); fuller ones only keep fewer rows from shuffles.
+BITS = 1 << 28
+#: How often groups are merged along their leaders, so that fewer sets are sent to several groups.
+MERGES = 2
+#: Marks keys that stand in for empty parts; above all levels.
+BARE = 128
 #: The paper's weight of a probe against a merge step.
 MU = 0.0085
 HOT = 1024
+#: Ids that are broadcast, at most (8 bytes each, and the hash table's).
+BROADCAST_IDS = 1 << 20
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE):
@@ -69,29 +76,85 @@ def _binary(a: np.ndarray) -> pa.Array:
     return pa.array([x.tobytes() for x in a], pa.binary())
 
 
-def _counts(size: int):
-    def run(batches):
-        total = np.zeros(CELLS, np.int64)
-        for batch in batches:
-            data, offsets = utf8(batch.column("text"))
-            for a, b in slices(offsets):
-                h, _ = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
-                total += np.bincount((h % np.uint64(CELLS)).astype(np.int64), minlength=CELLS)
-        cell = np.flatnonzero(total)
-        for a in range(0, len(cell), 1 << 16):
-            c = cell[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()), pa.array(total[c], pa.int64())], names=["cell", "n"])
-
-    return run
-
-
-def _reserve(n):
-    """How many shingles of the prefixes a link's two sets have to share, at least, when prefixes are longer by as many."""
-    return np.maximum(1, n // 10)
-
-
-def _signatures(shared, size: int, percent: int):
-    """(_id, text) to (_id, n, cid, c, pre): c is the first half of cid, pre the longer prefix in the global order."""
+class Parts:
+    """How sets of a size are parted, for links of percent."""
+
+    def __init__(self, percent: int):
+        self.percent, borders = percent, [1]
+        while borders[-1] < 1 << 40:
+            borders.append(max(borders[-1] + 1, int(borders[-1] * LEVEL)))
+        self.borders = np.array(borders, np.int64)
+        differ = 2 * (self.borders[1:] - 1) * (100 - percent) // (100 + percent)  # the most that two linked sets of a level differ in
+        # parts are empty by chance, too, so there are some more
+        per_part = (100 + percent) / (2 * (100 - percent)) / LEVEL if percent < 100 else 100.0
+        self.spare = np.ceil(1.3 * math.exp(-per_part) * differ).astype(np.int64)
+        self.parts = differ + 1 + self.spare
+
+    def keys(self, h: np.ndarray, rows: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of sets (flat h, sorted by row and then hash; n: sizes) and their rows, in order of rows. Two sets that link
+        have one in common. A key's last byte is its level, and BARE for those that stand in for empty parts."""
+        found, owners, starts = [], [], np.cumsum(n) - n
+        level, upper = np.searchsorted(self.borders, n, side="right") - 1, np.zeros(len(n), np.int64)
+        own = np.flatnonzero(n > 0)
+        while len(own):  # of its own level, and of each next one in which a set can have a partner
+            at = level[own] + upper[own]
+            k, size = self.parts[at], n[own]
+            place = np.repeat(starts[own] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            x, of = h[place], np.repeat(np.arange(len(own)), size)
+            first = np.cumsum(k) - k
+            cell = first[of] + ((mix(x ^ np.uint64(0xD1B54A32D192ED03)) >> np.uint64(32)) * k[of].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(cell, kind="stable")
+            cell = cell[order]
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(x[order] + np.uint64(0x632BE59BD9B4E019)), dtype=np.uint64)])
+            begin = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            part = sums[np.append(begin[1:], len(cell))] - sums[begin]
+            cell = cell[begin]
+            of = np.searchsorted(first, cell, side="right") - 1
+            tag = mix(at[of].astype(np.uint64) << np.uint64(40) | (cell - first[of]).astype(np.uint64))
+            found.append(self._marked(mix(part ^ tag), at[of]))
+            owners.append(own[of])
+            # the parts that two sets have alike may all be empty only if both have more empty ones than there are to spare:
+            # those meet, too, under the first hashes of their prefixes
+            bare = np.flatnonzero(k - np.bincount(of, minlength=len(own)) > self.spare[at])
+            if len(bare):
+                size, of = n[own[bare]], np.repeat(np.arange(len(bare)), n[own[bare]])
+                place = np.repeat(starts[own[bare]] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                rank = np.arange(len(of)) - (np.cumsum(size) - size)[of]
+                kept = rank < (size - (self.percent * size + 99) // 100 + 1)[of]
+                found.append(self._marked(mix(h[place[kept]]), at[bare][of[kept]] + BARE))
+                owners.append(own[bare][of[kept]])
+            upper[own] += 1
+            own = own[100 * n[own] >= self.percent * self.borders[level[own] + upper[own]]]
+        if not found:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        found, owners = np.concatenate(found), np.concatenate(owners)
+        order = np.argsort(owners, kind="stable")
+        return found[order], owners[order]
+
+
+    @staticmethod
+    def _marked(key: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        return key & ~np.uint64(0xFF) | mark.astype(np.uint64)
+
+    def promising(self, keys: np.ndarray, rows: np.ndarray, n: np.ndarray, met: np.ndarray) -> np.ndarray:
+        """Which keys to go on with, where met tells those that another set may have: of a set's level, all or none.
+
+        Two sets of a level that link have all parts alike but for as many as the sets differ in. met may be too true."""
+        mark = (keys & np.uint64(0xFF)).astype(np.int64)
+        cell, level = rows * 256 + (mark & (BARE - 1)), mark & (BARE - 1)
+        cells, at = np.unique(cell, return_inverse=True)
+        plain = mark < BARE
+        filled, alike = (np.bincount(at[x], minlength=len(cells)) for x in (plain, plain & met))
+        size, k = n[cells // 256], self.parts[cells % 256]
+        partner = np.minimum(self.borders[1:][cells % 256] - 1, 100 * size // self.percent)
+        needed = filled - (size + partner) * (100 - self.percent) // (100 + self.percent)
+        good = (alike >= np.maximum(1, needed)) | (k - filled > self.spare[cells % 256])
+        return met & good[at]
+
+
+def _signatures(size: int, percent: int):
+    """(_id, text) to (_id, n, cid, c, keys): c is the first half of cid, keys those of the set's parts."""
+    parts = Parts(percent)
 
     def run(batches):
         for batch in batches:
@@ -99,15 +162,12 @@ def _signatures(shared, size: int, percent: int):
             for a, b in slices(offsets):
                 h, rows = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
                 n = np.bincount(rows, minlength=b - a)
-                order = np.lexsort((h, shared.value[(h % np.uint64(CELLS)).astype(np.int64)], rows))
-                length = n - (percent * n + 99) // 100 + _reserve(n)
-                k = np.arange(len(h)) - (np.cumsum(n) - n)[rows]
-                kept = k < length[rows]
-                p, cut = h[order][kept], np.searchsorted(rows[kept], np.arange(b - a + 1))
+                keys, of = parts.keys(h, rows, n)
+                cut = np.searchsorted(of, np.arange(b - a + 1)).astype(np.int32)
                 cid = class_ids(h, rows, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id").slice(a, b - a), pa.array(n, pa.int64()), _binary(cid), pa.array(cid[:, :8].copy().view(np.int64)[:, 0]), pa.array([p[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])], pa.binary())],
-                    names=["_id", "n", "cid", "c", "pre"],
+                    [batch.column("_id").slice(a, b - a), pa.array(n, pa.int64()), _binary(cid), pa.array(cid[:, :8].copy().view(np.int64)[:, 0]), pa.ListArray.from_arrays(pa.array(cut), pa.array(keys.view(np.int64)))],
+                    names=["_id", "n", "cid", "c", "keys"],
                 )
 
     return run
@@ -118,35 +178,31 @@ def _holds(bitmap: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (bitmap[cell >> 3] >> (cell & 7) & 1).astype(bool)
 
 
-def _explode(percent: int, shared=None):
-    """(c, n, pre) to (key, c): the prefix's keys, each for the row's size class and the next; of the keys of a bitmap alone."""
+def _met_keys(shared, percent: int):
+    """(c, n, keys) to (key, c), of keys that the bitmap may hold, where they are enough for a link."""
+    parts = Parts(percent)
 
     def run(batches):
-        step = math.log(100 / percent) * 1.001  # a little wider than the ratio, so that rounding parts no pair
         for batch in batches:
             for a in range(0, batch.num_rows, 256):
                 part = batch.slice(a, 256)
-                n = part.column("n").to_numpy()
-                length = n - (percent * n + 99) // 100 + 1
-                p = np.frombuffer(b"".join(x[: 8 * k] for x, k in zip(part.column("pre").to_pylist(), length.tolist())), np.uint64)
-                row = np.repeat(np.arange(len(n)), length)
-                level = np.floor(np.log(n) / step).astype(np.uint64)[row]
-                keys = np.concatenate([mix(p ^ mix(level)), mix(p ^ mix(level + np.uint64(1)))]).view(np.int64)
-                c = np.tile(part.column("c").to_numpy()[row], 2)
-                if shared is not None:
-                    kept = _holds(shared.value, keys)
-                    keys, c = keys[kept], c[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(c)], names=["key", "c"])
+                lists = part.column("keys")
+                cut = lists.offsets.to_numpy()
+                keys = lists.values.to_numpy()[cut[0] : cut[-1]]
+                rows = np.repeat(np.arange(part.num_rows), np.diff(cut))
+                kept = parts.promising(keys.view(np.uint64), rows, part.column("n").to_numpy(), _holds(shared.value, keys >> 8))
+                yield pa.RecordBatch.from_arrays([pa.array(keys[kept]), pa.array(part.column("c").to_numpy()[rows[kept]])], names=["key", "c"])
 
     return run
 
 
-def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """bits (a power of two) cells of the values of a long column; its size doesn't grow with df."""
+def bitmap(df: DataFrame, column: str) -> np.ndarray:
+    """Cells of the values of a long column: 16 or more for each of df's rows (a power of two), BITS at most."""
+    rows = df.count()
+    bits = int(min(BITS, max(1 << 15, 1 << (16 * rows).bit_length())))
     cell = F.pmod(F.col(column), F.lit(bits)) + 1
-    rows = df.select(cell.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("map")).collect()
     out = np.zeros(bits // 8, np.uint8)
-    for r in rows:
+    for r in df.select(cell.alias("x")).groupBy(F.bitmap_bucket_number("x").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("x")).alias("map")).toLocalIterator():
         out[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(bytes(r["map"]), np.uint8)
     return out
 
@@ -174,51 +230,8 @@ def _sets(shared, size: int):
     return run
 
 
-def _near(percent: int):
-    """Sorted rows (leader, cid, n, pre) of small groups: those that share enough of the longer prefixes with another of
-    their group, and are near it in size. Every link's two ends are."""
-
-    def run(batches):
-        group, rows = None, []
-
-        def near():
-            n = np.array([r[1] for r in rows])
-            pre = [np.frombuffer(r[2], np.uint64) for r in rows]
-            doc = np.repeat(np.arange(len(rows)), [len(x) for x in pre])
-            _, at = np.unique(np.concatenate(pre), return_inverse=True)
-            order = np.argsort(at, kind="stable")
-            starts = np.searchsorted(at[order], np.arange(at.max() + 2))
-            doc_of, need, first = doc[order], _reserve(n), np.cumsum([0, *map(len, pre)])
-            for i in range(len(rows)):
-                own = at[first[i] : first[i + 1]]
-                lengths = starts[own + 1] - starts[own]
-                places = np.repeat(starts[own] - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
-                shared = np.bincount(doc_of[places], minlength=len(rows))
-                shared[i] = -1
-                if ((shared >= np.minimum(need, need[i])) & (np.minimum(n, n[i]) * 100 >= np.maximum(n, n[i]) * percent)).any():
-                    yield group, rows[i][0]
-
-        def batch_of(found):
-            return pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.int64()), pa.array([c for _, c in found], pa.binary())], names=["leader", "cid"])
-
-        found = []
-        for batch in batches:
-            for leader, *row in zip(*(batch.column(c).to_pylist() for c in ("leader", "cid", "n", "pre"))):
-                if leader != group:
-                    found += near() if rows else []
-                    group, rows = leader, []
-                rows.append(row)
-            if len(found) > 10_000:
-                yield batch_of(found)
-                found = []
-        found += near() if rows else []
-        yield batch_of(found)
-
-    return run
-
-
 class Block:
-    """Inverted lists over some sets, and a union-find of those that are linked."""
+    """Inverted lists over some sets, and the components of those that are linked."""
 
     def __init__(self, ids: list[bytes], sets: list[np.ndarray], percent: int):
         self.ids, self.sets, self.percent, self.m = ids, sets, percent, max(1, len(ids))
@@ -232,15 +245,21 @@ class Block:
         self.shingles = flat[new]
         self.starts = np.append(np.flatnonzero(new), len(flat))
         self.places = (np.cumsum(new) - 1) * self.m + self.doc  # (list, document), ascending
-        self.parent = list(range(len(ids)))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
+        self.root = np.arange(len(ids))  # of each set's component
+        self.members = {i: [i] for i in range(len(ids))}
+
+    def link(self, i: int, j: int) -> None:
+        a, b = int(self.root[i]), int(self.root[j])
+        if a != b:
+            if len(self.members[a]) < len(self.members[b]):
+                a, b = b, a
+            gone = self.members.pop(b)
+            self.root[gone] = a
+            self.members[a] += gone
 
     def search(self, own: np.ndarray, known: int | None = None) -> list[int]:
-        """Sets linked with own; of those that share a root with known, or with one found before, none need be given."""
+        """Sets linked with own; of a component only one. known: own's place among the sets, of which those before
+        it and those of its component are skipped."""
         n = len(own)
         need = max(1, (self.percent * n + 99) // 100)  # an overlap below this can't make the ratio
         if not len(self.shingles):
@@ -250,16 +269,27 @@ class Block:
         if len(lists) < need:
             return []
         length = self.starts[lists + 1] - self.starts[lists]
-        lists = lists[np.argsort(-length, kind="stable")]
-        n_long = min(need - 1, int(need / (MU * math.log(max(2, int(length.max()))) + 1)))
-        long, short = lists[:n_long], lists[n_long:]
-        merged = heapq.merge(*(self.doc[self.starts[x] : self.starts[x + 1]].tolist() for x in short.tolist()))
-        out, roots = [], set() if known is None else {self.root(known)}
+        by = np.argsort(-length, kind="stable")
+        lists, length = lists[by], length[by]
+        n_long = min(need - 1, int(need / (MU * math.log(max(2, int(length[0]))) + 1)))
+        long, short, size = lists[:n_long], lists[n_long:], length[n_long:]
+        # the short lists without what can't be asked for, once for all of them
+        docs = self.doc[np.repeat(self.starts[short] - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        able = (np.minimum(n, self.sizes) * 100 >= np.maximum(n, self.sizes) * self.percent)
+        if known is not None:
+            able[: known + 1] = False
+            able &= self.root != self.root[known]
+        kept = able[docs]
+        if not kept.any():
+            return []
+        docs, cut = docs[kept], np.cumsum(np.bincount(np.repeat(np.arange(len(short)), size)[kept], minlength=len(short)))
+        merged = heapq.merge(*(x.tolist() for x in np.split(docs, cut[:-1]) if len(x)))
+        out, roots = [], set()
         for d, same in groupby(merged):
-            if self.root(d) in roots:
+            if int(self.root[d]) in roots:
                 continue
             overlap = sum(1 for _ in same)
-            if overlap < need - n_long or min(n, self.sizes[d]) * 100 < max(n, self.sizes[d]) * self.percent:
+            if overlap < need - n_long:
                 continue
             if n_long:
                 probe = long * self.m + d
@@ -267,16 +297,16 @@ class Block:
                 overlap += int((self.places[at] == probe).sum())
             if 100 * overlap >= self.percent * (n + int(self.sizes[d]) - overlap):
                 out.append(d)
-                roots.add(self.root(d))
+                roots.add(int(self.root[d]))
         return out
 
     def join_own(self) -> None:
         for i, s in enumerate(self.sets):
             for d in self.search(s, i):
-                self.parent[self.root(d)] = self.root(i)
+                self.link(d, i)
 
     def edges(self):
-        return [(self.ids[i], self.ids[self.root(i)]) for i in range(len(self.ids)) if self.root(i) != i]
+        return [(self.ids[i], self.ids[int(r)]) for i, r in enumerate(self.root) if r != i]
 
 
 def _search(percent: int):
@@ -304,7 +334,8 @@ def _search(percent: int):
                     group, block, ids, sets = (leader, number, salt), None, [], []
                 own = np.frombuffer(s, np.uint64)
                 if role == 0:
-                    ids.append(cid), sets.append(own)
+                    if not ids or cid != ids[-1]:  # several rows may have brought a class's set
+                        ids.append(cid), sets.append(own)
                     continue
                 if block is None:
                     block = Block(ids, sets, percent)
@@ -313,7 +344,7 @@ def _search(percent: int):
                 # an indexed class that asks, too, finds itself
                 out += [(leader, cid, block.ids[d]) for d in found if block.ids[d] != cid]
                 for d in found[1:]:
-                    block.parent[block.root(d)] = block.root(found[0])
+                    block.link(d, found[0])
                     out.append((leader, block.ids[d], block.ids[found[0]]))
             if len(out) > 10_000:
                 yield batch_of(out)
@@ -341,7 +372,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("x"), "m").unionByName(low.select(F.col("a").alias("x"), "m"))
-        edges = stage(small.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "join-edges")
+        last, edges = edges, stage(small.filter("x <> m").select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "join-edges")
+        unstage(last)
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if now == before:
             return edges.select(F.col("a").alias("cid"), F.col("b").alias("root"))
@@ -355,24 +387,24 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     union of their sets of size-word shingles; a text of fewer words has its whole sequence as the one shingle,
     one without words (or null) an empty set that links with nothing. component_id is the smallest id that is
     reachable by links; a null id is ignored unless all ids are null. Other columns are ignored, rows that
-    repeat are linked; an empty df gives no rows.
+    repeat are linked, texts of any length are read whole; an empty df gives no rows. percent: 50 to 100.
     """
+    if not 50 <= percent <= 100:
+        raise ValueError("percent must be from 50 to 100")
     spark = df.sparkSession
     ship(spark)
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
-    texts = docs.select("text")
-    cells = texts.mapInArrow(_counts(size), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    order = np.zeros(CELLS, np.int64)
-    order[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
     kind = docs.schema["_id"].dataType.simpleString()
-    signed = stage(docs.mapInArrow(_signatures(spark.sparkContext.broadcast(order), size, percent), f"_id {kind}, n long, cid binary, c long, pre binary"), "join-signatures")
-
+    signed = stage(docs.mapInArrow(_signatures(size, percent), f"_id {kind}, n long, cid binary, c long, keys array<bigint>"), "join-signatures")
     classes = signed.filter("n > 0").groupBy("cid").agg(F.min("_id").alias("id"), F.count("*").alias("rows"))
-    roots = components(_links(spark, docs, signed.filter("n > 0"), size, percent))
+    links, used = _links(spark, docs, signed.filter("n > 0"), size, percent)
+    roots = components(links)
 
     named = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = named.groupBy("root").agg(F.min("id").alias("component_id"), F.sum("rows").alias("total")).filter("total > 1")
     named = stage(named.join(least, "root").select("cid", "component_id", "rows"), "join-classes")
+    for x in (roots, *used):
+        unstage(x)
     hot = named.orderBy(F.desc("rows"), "cid").limit(HOT)
     rows = signed.select("_id", "n", "cid").join(F.broadcast(hot), "cid", "left")
     cols = [F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("_id")).otherwise(F.coalesce("component_id", "_id")).alias("component_id")]
@@ -380,55 +412,61 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     return rows.filter("rows is not null").select(*cols).unionByName(rest.select(*cols))
 
 
-def _links(spark, docs: DataFrame, signed: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): links that join the components. Classes meet under keys, and go on to a leader's group with prefixes
-    first and then, where they may have a link there, with whole sets. Bitmaps only keep rows from shuffles."""
+def _links(spark, docs: DataFrame, signed: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """(a, b): links that join the components; and the stages that can go once these are read. Bitmaps only keep rows from shuffles."""
     send = spark.sparkContext.broadcast
-    prefixes = signed.select("c", "n", "pre")
-    met = prefixes.mapInArrow(_explode(percent), "key long, c long").groupBy("key").agg(F.min("c").alias("leader"), F.max("c").alias("last")).filter("leader <> last")
+    met = signed.select(F.explode("keys").alias("key"), "c").groupBy("key").agg(F.min("c").alias("leader"), F.max("c").alias("last")).filter("leader <> last")
     met = stage(met.select("key", "leader"), "join-keys")
-    own_keys = prefixes.mapInArrow(_explode(percent, send(bitmap(met, "key", KEY_BITS))), "key long, c long")
+    known = bitmap(met.select(F.shiftright("key", 8).alias("key")), "key")  # the last byte is no hash
+    own_keys = signed.select("c", "n", "keys").mapInArrow(_met_keys(send(known), percent), "key long, c long")
     routes = stage(own_keys.join(met, "key").select("leader", "c").distinct(), "join-routes")
-    met_classes = signed.mapInArrow(_passing(send(bitmap(routes, "c", BITS)), "c"), signed.schema)
+    used = [met]
+    for _ in range(MERGES):  # a leader that is in groups of smaller leaders takes its own group to the first of them
+        into = routes.groupBy("c").agg(F.min("leader").alias("into")).filter("into < c").withColumnRenamed("c", "l")
+        merged = routes.join(into, F.col("leader") == F.col("l"), "left").select(F.coalesce("into", "leader").alias("leader"), "c").distinct()
+        used.append(routes)
+        routes = stage(merged, "join-routes")
+    of_classes = signed.select("_id", "n", "cid", "c")
+    met_classes = of_classes.mapInArrow(_passing(send(bitmap(routes, "c")), "c"), of_classes.schema)
     # any of a class's rows serves: all have its set
-    cands = met_classes.groupBy("cid").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.first("pre").alias("pre"), F.min(F.xxhash64("_id")).alias("h"))
-    cands = stage(cands, "join-candidates")
-    groups = routes.groupBy("leader").agg(F.count("*").alias("size"))
-    small, large = groups.filter(F.col("size") <= BLOCK).select("leader"), stage(groups.filter(F.col("size") > BLOCK), "join-large")
-    few = routes.join(small, "leader").join(cands.select("c", "cid", "n", "pre"), "c").select("leader", "cid", "n", "pre")
-    few = stage(few.repartition("leader").sortWithinPartitions("leader").mapInArrow(_near(percent), "leader long, cid binary"), "join-near")
-    many = stage(routes.join(large, "leader").join(cands.select("c", "cid"), "c"), "join-members")
-    asked = few.select("cid").unionByName(many.select("cid")).distinct().join(cands.select("cid", "h"), "cid")
-    sets = docs.select(F.xxhash64("_id").alias("h"), "text").mapInArrow(_sets(send(bitmap(asked, "h", BITS)), size), "cid binary, set binary")
-    sets = stage(sets.groupBy("cid").agg(F.first("set").alias("set")), "join-sets")
+    cands = met_classes.groupBy("cid").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.min(F.xxhash64("_id")).alias("h"))
+    members = stage(routes.join(cands, "c").select("leader", "c", "cid", "n", "h"), "join-members")
+    asked = members.select("cid", "h").distinct()
+    sets = docs.select(F.xxhash64("_id").alias("h"), "text").mapInArrow(_sets(send(bitmap(asked, "h")), size), "cid binary, set binary")
+    sets = stage(sets, "join-sets")
+    groups = members.groupBy("leader").agg(F.count("*").alias("size"), F.sum(8 * F.col("n")).alias("bytes"))
+    groups = stage(groups.withColumnRenamed("leader", "l"), "join-groups")
+    at = F.col("leader") == F.col("l")
+    small, large = groups.filter(F.col("bytes") <= GROUP_BYTES).select("l"), groups.filter(F.col("bytes") > GROUP_BYTES).select("l", "size")
     zero = F.lit(0)
-    own = few.join(sets, "cid").withColumns({"block": zero, "salt": zero, "role": zero})
-    found = stage(_searched(own, percent), "join-links").select("a", "b")
+    own = members.join(small, at).select("leader", "cid").withColumns({"block": zero, "salt": zero, "role": zero}).join(sets, "cid")
+    found = stage(_searched(own, percent), "join-links")
+    used += [routes, members, sets, groups, found]
     if large.isEmpty():
-        return found
+        return found.select("a", "b"), used
 
     salts = F.ceil(F.col("size") / QUERIES).cast("int")
     salt = F.pmod(F.xxhash64("cid"), salts).cast("int")
-    members, other = many, "c <> leader"
-    asked = members.filter(other).select("leader", "cid", zero.alias("block"), salt.alias("salt"), F.lit(1).alias("role"))
-    heads = members.filter("c = leader").select("leader", "cid", zero.alias("block"), F.explode(F.sequence(zero, salts - 1)).alias("salt"), zero.alias("role"))
-    first = stage(_searched(asked.unionByName(heads).join(sets, "cid"), percent), "join-links")
+    many, other = stage(members.join(large, at).select("leader", "c", "cid", "n", "size"), "join-many"), "c <> leader"
+    ask = many.filter(other).select("leader", "cid", zero.alias("block"), salt.alias("salt"), F.lit(1).alias("role"))
+    heads = many.filter("c = leader").select("leader", "cid", zero.alias("block"), F.explode(F.sequence(zero, salts - 1)).alias("salt"), zero.alias("role"))
+    first = stage(_searched(ask.unionByName(heads).join(sets, "cid"), percent), "join-links")
     linked = first.select("leader", F.col("a").alias("cid")).distinct()
-    others = members.filter(other).join(linked, ["leader", "cid"], "left_anti")
-    counts = others.groupBy("leader").agg(F.count("*").alias("n_others"))
-    counts = counts.withColumn("blocks", F.ceil(F.col("n_others") / BLOCK).cast("int")).withColumnRenamed("leader", "l")
-    at = F.col("leader") == F.col("l")
-    index = others.join(counts, at).select("leader", "cid", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(zero, salts - 1)).alias("salt"), zero.alias("role"))
-    ask = members.join(counts, at).select("leader", "cid", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), salt.alias("salt"), F.lit(1).alias("role"))
+    others = many.filter(other).join(linked, ["leader", "cid"], "left_anti")
+    loads = others.groupBy("leader").agg(F.ceil(F.sum(8 * F.col("n")) / GROUP_BYTES).cast("int").alias("blocks")).withColumnRenamed("leader", "l")
+    index = others.join(loads, at).select("leader", "cid", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(zero, salts - 1)).alias("salt"), zero.alias("role"))
+    ask = many.join(loads, at).select("leader", "cid", F.explode(F.sequence(zero, F.col("blocks") - 1)).alias("block"), salt.alias("salt"), F.lit(1).alias("role"))
     rest = stage(_searched(index.unionByName(ask).join(sets, "cid"), percent), "join-links")
-    return found.unionByName(first.select("a", "b")).unionByName(rest.select("a", "b"))
+    return found.select("a", "b").unionByName(first.select("a", "b")).unionByName(rest.select("a", "b")), [*used, many, first, rest]
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of df without those of which another one of the component has a smaller id; rows with a null id or
-    no words stay. Rows that repeat an id stay or go together."""
+    no words stay. Rows that repeat an id stay or go together. Texts aren't shuffled where BROADCAST_IDS ids or fewer go."""
     gone = join(df, id_col, text_col, size, percent).filter(F.col(id_col) > F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return df.join(gone, F.col(id_col) == F.col("_gone"), "left_anti")
+    gone = stage(gone, "join-gone")
+    few = gone.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(gone) if few else gone, F.col(id_col) == F.col("_gone"), "left_anti")
 
 
 #: DuckDB's form of the query op2.

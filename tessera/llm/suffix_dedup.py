@@ -365,8 +365,12 @@ def remove_repeats(df: DataFrame, threshold: int = THRESHOLD, id_col: str = "doc
     found = stage(grouped.groupBy("grp").cogroup(spans.groupBy("grp")).applyInArrow(_remove(with_text), RESULT_SCHEMA), "suffix-found")
     keys = found.select(F.col("sha").alias("_sha"), F.col("doc_id").alias("_doc"), "n_removed", "n_spans", "kept_sha256", "kept", "spans").dropDuplicates(["_sha", "_doc"])
     firsts = least.select(F.col("sha").alias("_l"), "least")
-    out = rows.join(firsts, F.col("sha") == F.col("_l"), "left").withColumn("_copy", F.coalesce(F.col("_id") > F.col("least"), F.lit(False)))
+    # the copies of a broadcast text need no shuffle
+    marked = rows.join(F.broadcast(hot), F.col("sha") == F.col("_sha"), "left").drop("_sha")
+    known = marked.filter("_id > _least").withColumn("_copy", F.lit(True))
+    out = marked.filter("_least IS NULL OR _id <= _least").join(firsts, F.col("sha") == F.col("_l"), "left").withColumn("_copy", F.coalesce(F.col("_id") > F.col("least"), F.lit(False)))
     out = out.join(keys, (F.col("sha") == F.col("_sha")) & (F.coalesce("least", "_id") == F.col("_doc")), "left")
+    out = out.unionByName(known, allowMissingColumns=True)
     all_of_it = F.col("_copy") & (F.col("n_bytes") >= threshold)
     none = F.lit(hashlib.sha256(b"").hexdigest())
     pick = lambda whole, name, rest: F.when(all_of_it, whole).otherwise(F.coalesce(name, rest)).alias(name)

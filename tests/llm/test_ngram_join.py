@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from tessera.llm import ngram_join
@@ -65,21 +66,50 @@ def corpus():
     return rows + rows[:2] + [(None, "one"), (None, "nobody else has this"), (None, None)]
 
 
-@pytest.mark.parametrize("block,queries", [(256, 4096), (2, 3)])
-def test_equals_brute_force(spark, monkeypatch, block, queries):
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+@pytest.mark.parametrize("group,queries,hot", [(16 << 20, 4096, 1024), (2000, 3, 1)])
+def test_equals_brute_force(spark, monkeypatch, group, queries, hot):
+    monkeypatch.setattr(ngram_join, "GROUP_BYTES", group)
     monkeypatch.setattr(ngram_join, "QUERIES", queries)
+    monkeypatch.setattr(ngram_join, "HOT", hot)
     rows = corpus()
     assert order(got(spark, rows)) == order(brute(rows))
+    if hot == 1:
+        assert order(got(spark, rows, size=5, percent=80)) == order(brute(rows, 5, 80))
+
+
+@pytest.mark.parametrize("percent", [50, 66, 80, 90, 97, 100])
+def test_linked_sets_share_a_key(percent):
+    """Random pairs around the bound, of all sizes, small ones with empty parts among them."""
+    parts, rng = ngram_join.Parts(percent), np.random.default_rng(percent)
+    linked = 0
+    for _ in range(1500):
+        n = int(rng.choice([1, 2, 3, 5, 8, 9, 20, 60, 200, 500]))
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        cut, new = rng.integers(0, max(1, n * (100 - percent) // 90) + 1, 2)
+        b = np.unique(np.concatenate([a[rng.permutation(len(a))[cut:]], rng.integers(0, 2**63, new, dtype=np.uint64)]))
+        if not len(b) or 100 * len(np.intersect1d(a, b)) < percent * len(np.union1d(a, b)):
+            continue
+        linked += 1
+        keys, rows = parts.keys(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), np.array([len(a), len(b)]))
+        common = np.intersect1d(keys[rows == 0], keys[rows == 1])
+        assert (np.diff(rows) >= 0).all() and len(common)
+        kept = parts.promising(keys, rows, np.array([len(a), len(b)]), np.isin(keys, common))
+        assert set(keys[kept & (rows == 0)].tolist()) & set(keys[kept & (rows == 1)].tolist())
+    assert linked > 300
 
 
 def test_empty_table(spark):
     assert got(spark, []) == []
 
 
-def test_keep_one(spark):
+def test_keep_one(spark, monkeypatch):
     df = spark.createDataFrame([(5, "a b c d", "x", 1), (3, "A b c d", "x", 1), (9, None, "x", 1), (None, "a b c d", "x", 1)], SCHEMA)
     assert sorted((r[0] or 0) for r in ngram_join.keep_one(df).collect()) == [0, 3, 9]
+    # ids too many to broadcast; repeated ids and a clashing name
+    monkeypatch.setattr(ngram_join, "BROADCAST_IDS", 0)
+    df = df.unionByName(df).withColumnRenamed("cid", "_id").withColumnRenamed("leader", "component_id")
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns and sorted((r[0] or 0) for r in kept.collect()) == [0, 0, 3, 3, 9, 9]
 
 
 def test_pipeline_drops_near_copies_of_five_words(spark):
