@@ -1,10 +1,10 @@
 """Exact dedup: two-pass Bloom filtering, in DataFrame functions alone.
 
-Pass one counts, for each of two independent hashes of a text, how many rows fall on each cell of a bit
-table, and keeps the cells with two rows or more as bitmaps (4 KB for each 32,768 cells, so at most
-2 * bits / 8 bytes whatever the input's size, which bounds the broadcast). Pass two probes the bitmaps: a
-row of which a cell has one row only cannot have an equal text, and passes straight through without a
-shuffle; the others are grouped by SHA-256. Only (id, digest) rows are ever shuffled, never texts.
+Pass one counts, for each of two independent hashes of a text, how many rows fall on each cell of a bit table, and
+keeps the cells with two rows or more as 64-bit words. A table has 16 cells a row or more, up to MOST_CELLS, which
+bounds the broadcast (MOST_CELLS / 64 words, and only those with a bit). Pass two probes both tables: a row of which a
+cell has one row only cannot have an equal text, and passes straight through; the others are grouped by SHA-256.
+Pass one sends a cell number for each row, not the row; digests are only shuffled for rows that may repeat, texts never.
 """
 
 from __future__ import annotations
@@ -16,40 +16,39 @@ from .common import stage
 
 #: Groups that may hold a large share of the rows; any other holds less than a 1/HOT of them.
 HOT = 1024
+#: Rows of an id and a digest that are broadcast, at most.
+BROADCAST_ROWS = 1 << 19
+#: Cells of a table, at most.
+MOST_CELLS = 1 << 28
 
 
-def _bit(bitmap, cell):
-    """Whether the bitmap of a cell's bucket has the cell's bit; false without a bitmap."""
-    at = F.bitmap_bit_position(cell)
-    byte = F.conv(F.hex(F.substring(bitmap, (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("bigint")
-    return F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+def _cells(rows: int) -> int:
+    return min(MOST_CELLS, max(1 << 10, 1 << (16 * rows).bit_length()))
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 1 << 26) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None) -> DataFrame:
     """One row per row of df: its id, keep_id, group_size, kept and text_sha256.
 
     Of rows with equal texts the largest id stays. A null text counts as empty. A null id is smaller than
     any other, and keep_id is null only where all ids of a group are. Rows that repeat id and text are one
     document: kept alike, each counted in group_size. Other columns of df are ignored; an empty df gives no
-    rows. bits: cells of each of the two bit tables, a multiple of 32,768.
+    rows; texts of any length are read whole. cells: of each of the two bit tables; by default from the number of rows.
     """
-    if bits % 32768:
-        raise ValueError("bits must be a multiple of 32768")
+    if cells is not None and cells < 1:
+        raise ValueError("cells must be 1 or more")
     digests = stage(
         df.select(F.col(id_col).alias("doc_id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256).alias("text_sha256")), "dedup-digests"
     )
-    rows = digests
+    cells, rows = cells or _cells(digests.count()), digests
     for i in (1, 2):
-        # bitmap_bit_position counts from 1: cells are 1..bits
-        rows = rows.withColumn(f"_cell{i}", F.pmod(F.xxhash64(F.lit(i), F.col("text_sha256")), F.lit(bits)) + 1)
+        rows = rows.withColumn(f"_cell{i}", F.pmod(F.xxhash64(F.lit(i), F.col("text_sha256")), F.lit(cells)))
     for i in (1, 2):
         cell = F.col(f"_cell{i}")
-        twice = (
-            rows.groupBy(cell).agg(F.count("*").alias("_n")).filter("_n > 1")
-            .groupBy(F.bitmap_bucket_number(cell).alias(f"_bucket{i}")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(cell)).alias(f"_map{i}"))
-        )
-        rows = rows.withColumn(f"_bucket{i}", F.bitmap_bucket_number(cell)).join(F.broadcast(twice), f"_bucket{i}", "left")
-    maybe = _bit(F.col("_map1"), F.col("_cell1")) & _bit(F.col("_map2"), F.col("_cell2"))
+        twice = rows.groupBy(cell).agg(F.count("*").alias("_n")).filter("_n > 1")
+        words = twice.groupBy(F.shiftright(cell, 6).alias(f"_word{i}")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(_cell{i} & 63 AS int))")).alias(f"_bits{i}"))
+        rows = rows.withColumn(f"_word{i}", F.shiftright(cell, 6)).join(F.broadcast(words), f"_word{i}", "left")
+    bit = lambda i: F.coalesce(F.expr(f"getbit(_bits{i}, cast(_cell{i} & 63 AS int)) = 1"), F.lit(False))
+    maybe = bit(1) & bit(2)
     rows = rows.select("doc_id", "text_sha256", maybe.alias("_maybe"))
 
     groups = (
@@ -66,10 +65,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", b
     return out.select("doc_id", "keep_id", F.col("group_size").cast("bigint"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
-def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 1 << 26) -> DataFrame:
-    """The rows of df that exact_dedup keeps, with all their columns."""
-    gone = exact_dedup(df, id_col, text_col, bits).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return df.join(gone, df[id_col].eqNullSafe(F.col("_gone")), "left_anti")
+def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cells: int | None = None) -> DataFrame:
+    """The rows of df that exact_dedup keeps, with all their columns. Texts aren't shuffled where BROADCAST_ROWS rows or fewer go."""
+    gone = exact_dedup(df, id_col, text_col, cells).filter("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("text_sha256").alias("_gone_sha")).distinct()
+    gone = stage(gone, "dedup-gone")
+    few = gone.count() <= BROADCAST_ROWS
+    sha = F.sha2(F.coalesce(df[text_col], F.lit("")).cast("binary"), 256)
+    return df.join(F.broadcast(gone) if few else gone, df[id_col].eqNullSafe(F.col("_gone")) & (sha == F.col("_gone_sha")), "left_anti")
 
 
 #: DuckDB's form of the query op3.
