@@ -1,9 +1,10 @@
 """Mixing sources to target weights: subset-sum budget fitting.
 
 Documents are counted by (source, exact length). A source's budget is first spent on whole copies of the
-source, then on the same share of each length, and what remains, less than one document of each length, by
-bounded-knapsack dynamic programming over the lengths' remaining counts. Each length's count is then drawn by
-a seeded hash. Only (id, source, length) rows and counts are shuffled, never texts.
+source, then, but for a reserve of twice the longest document, on the same share of each length, fractions carried
+from length to length. What remains, less than three of the longest documents, is spent by bounded-knapsack dynamic
+programming over all lengths' remaining counts. Each length's count is then drawn by a seeded hash. Only (id, source,
+length) rows and counts are shuffled, never texts.
 """
 
 from __future__ import annotations
@@ -17,16 +18,23 @@ from pyspark.sql import functions as F
 
 from .common import ship, stage
 
-#: What the dynamic programming fits at most; more than that is first filled with the longest documents.
-KNAPSACK = 1 << 16
+#: The dynamic programming's part of a budget, in longest documents.
+RESERVE = 2
 #: Rows that one task ranks; a larger group is first cut at the borders of hash buckets of about this size.
 RANKED = 1024
 #: Groups that may hold a large share of the rows are joined by broadcast, this many at most.
 HOT = 1024
+#: Rows of (id, source, size, counts) that are broadcast, at most.
+BROADCAST_ROWS = 1 << 19
 WEIGHTS = (5, 2, 1)
 CAP = 3
 
 
+def words_of(text):
+    """Words between ASCII white space, 0 of a null."""
+    return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+
+
 def targets(sizes: dict, weights=WEIGHTS, cap: float = CAP) -> dict:
     """Target of each source: 100 % of all sizes by weight, none above cap times its size, the excess reshared
     by weight. Sources by code point, null last, get the weights in turn."""
@@ -51,21 +59,14 @@ def fit_counts(lengths: list[int], counts: list[int], budget: int, seed: str = "
     total = sum(n * c for n, c in zip(lengths, counts))
     if budget >= total:
         return list(counts)
-    take = [c * budget // total for c in counts]
+    shared, carry, take = max(0, budget - RESERVE * max(lengths)), 0, [0] * len(lengths)
+    for i in sorted(range(len(lengths)), key=lambda i: lengths[i]):
+        # counts * length * shared / total words for this length, in units of 1 / total
+        carry += counts[i] * lengths[i] * shared
+        take[i], carry = divmod(carry, lengths[i] * total)
     left = budget - sum(n * t for n, t in zip(lengths, take))
     order = list(range(len(lengths)))
     random.Random(f"{seed}/{budget}").shuffle(order)
-    for i in order:  # the shares' fractions, a document each
-        if lengths[i] <= left - KNAPSACK // 2 and take[i] < counts[i]:
-            take[i] += 1
-            left -= lengths[i]
-    for i in sorted(order, key=lambda i: -lengths[i]):
-        if left <= KNAPSACK:
-            break
-        more = min(counts[i] - take[i], (left - KNAPSACK // 2) // lengths[i])
-        if more > 0:
-            take[i] += more
-            left -= more * lengths[i]
     # Bounded knapsack: bit w of reach says that w can be made; counts are split into powers of two.
     mask, reach, steps = (1 << (left + 1)) - 1, 1, []
     for i in order:
@@ -93,7 +94,7 @@ def mix(df: DataFrame, seed: int = 7, weights=WEIGHTS, cap: int = CAP, id_col: s
     """
     spark = df.sparkSession
     ship(spark)
-    size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
+    size = words_of(F.col(text_col))
     rows = stage(
         df.select(F.col(id_col).alias("_id"), F.col(source_col).isNull().alias("_none"), F.coalesce(F.col(source_col), F.lit("")).alias("_source"), size.alias("size")), "mix-sizes"
     ).withColumn("_hash", F.xxhash64(F.lit(seed), F.col("_id").cast("string")))
@@ -135,3 +136,26 @@ def mix(df: DataFrame, seed: int = 7, weights=WEIGHTS, cap: int = CAP, id_col: s
     out = ranked.select(*cols).unionByName(clear.select(*cols)).unionByName(even.select(*cols))
     copies = F.col("_whole") + F.col("_in")
     return out.select(F.col("_id").alias(id_col), "size", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+
+
+def take(df: DataFrame, seed: int = 7, weights=WEIGHTS, cap: int = CAP, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of df as often as the mix takes them, from never to cap times; those without words go.
+
+    Rows that repeat an id, source and size share the copies that the mix has for them, none more than one above
+    another. Texts are only shuffled where the mix takes over BROADCAST_ROWS documents.
+    """
+    plan = mix(df.withColumn("_mix_id", F.struct(id_col, source_col)), seed, weights, cap, "_mix_id", text_col, source_col).filter("size > 0")
+    key = {"_mix_key": F.col(f"_mix_id.{id_col}"), "_mix_source": F.col(f"_mix_id.{source_col}"), "_mix_size": F.col("size")}
+    plan = plan.groupBy(*[c.alias(k) for k, c in key.items()]).agg(F.count("*").alias("_mix_rows"), F.sum("copies").alias("_mix_copies"))
+    plan = stage(plan.filter("_mix_copies > 0"), "mix-taken")
+    few = plan.count() <= BROADCAST_ROWS
+    rows = df.withColumn("_mix_words", words_of(F.col(text_col)))
+    same = F.col(id_col).eqNullSafe(F.col("_mix_key")) & F.col(source_col).eqNullSafe(F.col("_mix_source")) & (F.col("_mix_words") == F.col("_mix_size"))
+    rows = rows.join(F.broadcast(plan) if few else plan, same)
+    rest = F.col("_mix_copies") % F.col("_mix_rows")
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), text_col), text_col))
+    each = F.floor(F.col("_mix_copies") / F.col("_mix_rows")).cast("int")
+    even = rows.filter(rest == 0).withColumn("_mix_n", each)
+    odd = rows.filter(rest > 0).withColumn("_mix_n", each + (rank <= rest).cast("int"))
+    both = even.unionByName(odd).filter("_mix_n > 0")
+    return both.withColumn("_mix_k", F.explode(F.sequence(F.lit(1), F.col("_mix_n")))).select(*df.columns)
