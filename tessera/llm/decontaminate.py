@@ -223,6 +223,14 @@ def _search(shared):
     return run
 
 
+def _items(benchmark: DataFrame, item_col: str, item_text: str) -> DataFrame:
+    return benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
+
+
+def _blocks(items: DataFrame, block_bytes: int) -> int:
+    return int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
+
+
 def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
     """One row per row of df: id, n_words, n_hit, spans (merged, of UTF-8 bytes of the text) and items (sorted ids
     as strings, of items with a window in the document).
@@ -235,9 +243,8 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     """
     spark = df.sparkSession
     ship(spark)
-    items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = int(total // block_bytes) + 1
+    items = _items(benchmark, item_col, item_text)
+    blocks = _blocks(items, block_bytes)
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     kind = docs.schema["_id"].dataType.simpleString()
     schema = f"_id {kind}, n_words long, n_hit long, spans array<struct<start:bigint,end:bigint>>, items array<string>"
@@ -285,6 +292,27 @@ def _merged(found: list[DataFrame], keyed: DataFrame, schema: str) -> DataFrame:
     return keyed.join(union, "_key").select("_id", "text", "n_words", "spans", "items").mapInArrow(words_of, schema)
 
 
+def drop_contaminated(df: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = BENCHMARK_BYTES) -> DataFrame:
+    """The rows of df, with all their columns, that aren't contaminated(). With a benchmark in one block the texts pass once and aren't shuffled."""
+    spark = df.sparkSession
+    ship(spark)
+    items = _items(benchmark, "item_id", "text")
+    if _blocks(items, block_bytes) == 1:
+        shared = spark.sparkContext.broadcast(Benchmark([tuple(r) for r in items.collect()], window))
+
+        def run(batches):
+            for batch in batches:
+                data, offsets = utf8(batch.column(text_col))
+                for a, b in slices(offsets, SHARD_BYTES):
+                    n_words, n_hit, _, _ = _shard(shared.value, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    yield batch.slice(a, b - a).filter(pa.array((n_hit == 0) | (20 * n_hit < n_words)))
+
+        return df.mapInArrow(run, df.schema)
+    keyed = stage(df.withColumn("_row_key", F.monotonically_increasing_id()), "decontaminate-rows")
+    gone = find(keyed.select("_row_key", F.col(text_col).alias("text")), benchmark, id_col="_row_key", window=window, block_bytes=block_bytes).filter(contaminated())
+    return keyed.join(gone.select("_row_key"), "_row_key", "left_anti").select(*df.columns)
+
+
 def contaminated():
     """At least one word, and at least a twentieth of the words, is hit."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
