@@ -8,8 +8,6 @@ labelled documents, whole texts, with the same number of documents for each lang
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,12 +27,15 @@ UNDETERMINED = "und"
 #: Bits of a table that tells most strings that are no piece.
 SIEVE = 1 << 22
 
-LETTER = re.compile(r"[^\W\d_]")
 #: Bytes of words after lower-casing.
 LETTERS = np.zeros(256, bool)
 LETTERS[97:123] = LETTERS[128:] = True
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(map(str.isalpha, text))
+
+
 def vocabulary(path: str) -> list[str]:
     """The pieces of a sentencepiece model, lower-cased, of letters alone; a word's first piece isn't told apart."""
     import sentencepiece
@@ -136,7 +137,7 @@ class LanguageModel:
         logs = self.logs(texts)
         best = logs.argmax(1) if logs.shape[1] else np.zeros(len(texts), int)
         score = 1 / np.exp(logs - logs.max(1, keepdims=True)).sum(1) if logs.shape[1] else np.zeros(len(texts))
-        known = [bool(t and LETTER.search(t)) and bool(self.languages) for t in texts]
+        known = [has_letter(t) and bool(self.languages) for t in texts]
         return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, known)], np.where(known, score, 0.0)
 
 
@@ -209,6 +210,22 @@ def _predict(shared):
     return run
 
 
+def keep_known(df: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
+    """The rows of df, with all their columns, whose text predict() gives a language; a null text or one without a letter has none."""
+
+    def run(batches):
+        for batch in batches:
+            _, offsets = utf8(batch.column(text_col))
+            for a, b in slices(offsets, 1 << 20):
+                part = batch.slice(a, b - a)
+                lang, _ = shared.value.predict(part.column(text_col).to_pylist())
+                yield part.filter(pa.array([x != UNDETERMINED for x in lang], pa.bool_()))
+
+    ship(df.sparkSession)
+    shared = df.sparkSession.sparkContext.broadcast(model)
+    return df.mapInArrow(run, df.schema)
+
+
 def predict(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id, held_out, lang_pred and score, the posterior of lang_pred under equal priors.
 
