@@ -1,13 +1,13 @@
 """Corpus pipeline: language ID, n-gram Jaccard join, benchmark decontamination, mixing, token codes.
 
 Each stage takes (spark, docs, sf_dir); run() writes its rows as Parquet into the shared folder and reads them
-again as the next stage's docs. All stages but the last return the columns of documents.
+again as the next stage's docs. All stages but the last return the columns of documents, whatever others docs has
+as well. An empty docs gives no rows at each stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, language_id, mixing, ngram_join, queries
 from tessera.llm.common import stage, table
@@ -17,36 +17,30 @@ from tessera.llm.common import stage, table
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
-def _with_rows(docs: DataFrame) -> DataFrame:
-    """The whole row as the id of what the operator returns: no join by id and no shuffle of texts."""
-    return docs.select(F.struct(*docs.columns).alias("_row"), "text")
-
-
 def keep_known_languages(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which a language can be told; the others (null, or no letter) go."""
-    model = language_id.fit(docs, queries.tokenizer_path("piece_bpe_32k.model"))
-    return language_id.predict(_with_rows(docs), model, id_col="_row").filter(F.col("lang_pred") != language_id.UNDETERMINED).select("_row.*")
+    """Documents of which a language can be told; the others (null, or no letter) go. Where no row has a language, all go."""
+    return language_id.keep_known(docs, language_id.fit(docs, queries.tokenizer_path("piece_bpe_32k.model")))
 
 
 def drop_near_copies(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each component of links: near copies by NEAR_WORDS and NEAR_PERCENT."""
+    """One document, that of the smallest id, of each component of links: near copies by NEAR_WORDS and NEAR_PERCENT.
+    Null ids and texts without words stay; rows that repeat an id stay or go together."""
     return ngram_join.keep_one(docs, size=NEAR_WORDS, percent=NEAR_PERCENT)
 
 
 def drop_contaminated(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which at least a twentieth of the words is in benchmark windows go."""
-    return decontaminate.find(_with_rows(docs), table(spark, sf_dir, "benchmark"), id_col="_row").filter(~decontaminate.contaminated()).select("_row.*")
+    """Documents of which at least a twentieth of the words is in benchmark windows go; null texts stay."""
+    return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, from never to three times; those without words go."""
-    taken = mixing.mix(docs).filter("copies > 0 AND size > 0").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("copies").cast("int").alias("_copies"))
-    rows = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("_doc")))
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """Documents as often as the mix takes them, from never to three times; those without words go. Rows that repeat an
+    id count as so many rows, and a null source is a source."""
+    return mixing.take(docs)
 
 
 def write_token_codes(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The digest of the written token files, as of op4."""
+    """The digest of the written token files, as of op4; a row for each copy, null texts with the end id alone."""
     return queries.op4_token_codes(spark, sf_dir, docs)
 
 
