@@ -79,7 +79,7 @@ _LEAN: list[bool] = []
 
 
 def lean() -> None:
-    """In a Python worker: larger arrays, Arrow's too, go back to the system as soon as they are freed."""
+    """Larger arrays, Arrow's too, go back to the system as soon as they are freed: Python workers outlive their tasks."""
     if not _LEAN:
         _LEAN.append(True)
         pa.set_memory_pool(pa.system_memory_pool())
@@ -103,6 +103,7 @@ def held_out(id_col: str = "doc_id"):
 
 def utf8(column) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column and its offsets; a null counts as empty."""
+    lean()
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = pc.fill_null(column.cast(pa.large_string()), "")
