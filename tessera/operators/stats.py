@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,17 +55,45 @@ def min_cases(bars: int, fraction: float = 0.01, least: int = 30) -> int:
     return max(least, -int(-fraction * bars // 1))
 
 
-def filters(stats: DataFrame, need: Column, mode: str = "both", p_tp: float = 0.5, mean: float = 0.0, lift_p: float = 0.0, lift_mean: float = 0.0, basis: str = "net") -> DataFrame:
-    """passed and reject_reasons; what isn't known fails."""
-    below = lambda c, x, strict: ~F.coalesce(F.col(c) > x if strict else F.col(c) >= x, F.lit(False))
-    parts = [F.when(F.col("n_entries") < need, F.concat(F.lit("n<"), need.cast("string")))]
-    if mode in ("absolute", "both"):
-        parts += [F.when(below("P_TP_FIRST", p_tp, False), F.lit(f"P_TP<{p_tp:g}")), F.when(below(f"mean_{basis}_return", mean, True), F.lit(f"mean_{basis}_return<={mean:g}"))]
-    if mode in ("lift", "both"):
-        parts += [F.when(below("lift_P_TP_FIRST", lift_p, False), F.lit(f"lift_P_TP<{lift_p:g}"))]
-        parts += [F.when(below(f"lift_mean_{basis}_return", lift_mean, True), F.lit(f"lift_mean_{basis}_return<={lift_mean:g}"))]
-    out = stats.withColumn("reject_reasons", F.concat_ws(";", *parts))
-    return out.withColumn("passed", F.col("reject_reasons") == "")
+@dataclass(frozen=True)
+class Rule:
+    """A bound that a column has to reach, or to exceed where strict; mode: in which of the filter's modes it counts."""
+
+    mode: str
+    column: str
+    shown: str
+    bound: float
+    strict: bool
+
+    def broken(self) -> Column:
+        x = F.col(self.column)
+        return ~F.coalesce(x > self.bound if self.strict else x >= self.bound, F.lit(False))
+
+    @property
+    def reason(self) -> str:
+        return f"{self.shown}{'<=' if self.strict else '<'}{self.bound:g}"
+
+
+def rules(mode: str = "both", p_tp: float = 0.5, mean: float = 0.0, lift_p: float = 0.0, lift_mean: float = 0.0, basis: str = "net") -> list[Rule]:
+    every = [
+        Rule("absolute", "P_TP_FIRST", "P_TP", p_tp, False), Rule("absolute", f"mean_{basis}_return", f"mean_{basis}_return", mean, True),
+        Rule("lift", "lift_P_TP_FIRST", "lift_P_TP", lift_p, False), Rule("lift", f"lift_mean_{basis}_return", f"lift_mean_{basis}_return", lift_mean, True),
+    ]
+    if mode not in ("absolute", "lift", "both"):
+        raise ValueError("mode is absolute, lift or both")
+    return [r for r in every if mode in (r.mode, "both")]
+
+
+def filters(stats: DataFrame, need: Column, **bounds) -> DataFrame:
+    """passed and reject_reasons by rules(**bounds), after enough entries; what isn't known fails."""
+    broken = [F.when(F.col("n_entries") < need, F.concat(F.lit("n<"), need.cast("string"))), *(F.when(r.broken(), r.reason) for r in rules(**bounds))]
+    return stats.withColumn("reject_reasons", F.concat_ws(";", *broken)).withColumn("passed", F.col("reject_reasons") == "")
+
+
+def survivors(rows: DataFrame) -> DataFrame:
+    """Conditions that pass in TEST where it was evaluated, else in VALIDATION."""
+    last = rows.agg(F.when(F.max((F.col("segment") == "TEST").cast("int")) == 1, "TEST").otherwise("VALIDATION").alias("_last"))
+    return rows.join(F.broadcast(last), F.col("segment") == F.col("_last")).filter("passed").drop("_last")
 
 
 def pool(stats: DataFrame, need: int, top: int) -> DataFrame:

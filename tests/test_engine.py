@@ -162,3 +162,65 @@ def test_query_equals_sql(spark, duck, name):
     key = lambda r: tuple((x is not None, str(x)) for x in r)
     ours = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=key)
     assert ours == sorted((tuple(plain(r[at.index(c)]) for c in cols) for r in cur.fetchall()), key=key)
+
+
+def test_arrays_and_columns_agree(spark):
+    """Every node type, evaluated over columns and over arrays."""
+    from tessera.functions import operands as P
+    from tessera.operators.conditions import Arrays, operands_of
+
+    rng = np.random.default_rng(2)
+    xs = 100 + np.cumsum(rng.normal(0, 1, 300))
+    up, rsi = Cross(P.operand("price", "close"), P.operand("sma", 5)), Compare(P.operand("rsi", 7), ">", 50.0)
+    trees = {"a": And(up, rsi), "b": Or(up, Not(rsi)), "c": Within(up, 4), "d": Then(up, Cross(P.operand("rsi", 7), 60, above=False), 9), "e": ContextTrigger(rsi, up)}
+    df = P.materialise(closes(spark, xs.tolist()), operands_of(trees.values()))
+    got = {r["t"]: r for r in evaluate(df, trees).collect()}
+    pdf = df.toPandas().sort_values("t")
+    on = Arrays({c: pdf[c].to_numpy(float) for c in pdf.columns if c not in ("series", "ts")})
+    for name, tree in trees.items():
+        assert [got[t][name] for t in range(300)] == on.part(tree)[0].tolist(), name
+        assert from_dict(to_dict(tree)) == tree and 0 < sum(on.part(tree)[0]) < 300
+
+
+def test_scales_and_bounds_are_checked():
+    from tessera.functions import operands as P
+
+    with pytest.raises(ValueError):
+        Compare(P.operand("rsi", 14), ">", P.operand("price", "close"))
+    with pytest.raises(ValueError):
+        Compare("a", "=", 1)
+    with pytest.raises(ValueError):
+        Within(Compare("a", ">", 1), 0)
+    with pytest.raises(ValueError):
+        P.operand("sma")
+    assert Compare(P.operand("sma", 5), ">", P.operand("ema", 9)).kind == "STATE" and P.from_dict(P.to_dict(P.operand("macd", 12, 26, 9, "line"))).scale == "macd(12,26)"
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_greedy_by_doubling_is_the_plain_chain(seed):
+    rng = np.random.default_rng(seed)
+    t = np.unique(rng.integers(0, 400, 120))
+    free = t + rng.integers(-2, 30, len(t))
+    out, i = [], 0
+    while i < len(t):
+        out.append(i)
+        i = max(i + 1, int(np.searchsorted(t, free[i])))
+    assert entries.greedy(t, free).tolist() == out
+
+
+def test_segments_by_dates_and_series(spark):
+    b = closes(spark, range(100)).unionByName(closes(spark, range(40)).withColumn("series", F.lit("u")))
+    own = segments.per_series(b, segments.chronological_split)
+    got = {(r["series"], r["segment"]): (r["start"], r["end"]) for r in own.collect()}
+    assert got["s", "TEST"] == (65, 100) and got["u", "TRAIN"] == (0, 12)
+    assert segments.assign(b, own).count() == 140
+    one = segments.frame(spark, [(0, "A", 0, 30), (0, "B", 30, 100)])
+    dates = segments.calendar_of(b.filter("series = 's'"), one)
+    back = {(r["series"], r["segment"]): (r["start"], r["end"]) for r in segments.on_calendar(b, dates).collect()}
+    assert back == {("s", "A"): (0, 30), ("s", "B"): (30, 100), ("u", "A"): (0, 30), ("u", "B"): (30, 40)}
+    assert segments.holdout_cut(b, "1970-01-01 10:00:00").count() == 20
+    assert segments.rolling(100, 50, 20) == [(0, "TRAIN", 0, 50), (0, "VALIDATION", 50, 70), (1, "TRAIN", 20, 70), (1, "VALIDATION", 70, 90)]
+    folds = segments.frame(spark, segments.make_folds(100, folds=2, ratio=3, holdout=0.0))
+    val = {r["fold"]: (r["start"], r["end"]) for r in folds.filter("segment = 'VALIDATION'").collect()}
+    found = {r["t"]: r["fold"] for r in segments.fold_of_bars(b.filter("series = 's'").select("t"), folds).collect()}
+    assert all(found[t] == next((k for k, (x, y) in val.items() if x <= t < y), -1) for t in range(100))
