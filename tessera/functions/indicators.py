@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.cluster import ship
 from tessera.operators.quality import epoch
 
 
@@ -42,18 +43,7 @@ def true_range() -> Column:
 
 def affine_scan(x: np.ndarray, alpha: float, periods: int) -> np.ndarray:
     """y = a x + (1 - a) y', from the first value on; NaN until periods values."""
-    out = np.full(len(x), np.nan)
-    known = np.flatnonzero(~np.isnan(x))
-    if not len(known):
-        return out
-    y, seen, keep = x[known[0]], 0, 1 - alpha
-    for i in range(known[0], len(x)):
-        if not np.isnan(x[i]):
-            seen += 1
-            y = x[i] if seen == 1 else keep * y + alpha * x[i]
-        if seen >= periods:
-            out[i] = y
-    return out
+    return pd.Series(x).ewm(alpha=alpha, adjust=False, ignore_na=True, min_periods=periods).mean().to_numpy()
 
 
 def ema(x, p):
@@ -87,10 +77,21 @@ def _macd(pdf, fast, slow, signal):
     return line, sig, line - sig
 
 
+def _htf(pdf, tf, n, base=3600):
+    """As with_htf_trend, over one series."""
+    at = pdf["ts"].to_numpy("datetime64[s]").astype(np.int64)
+    new = np.concatenate([[True], np.diff(at // tf) != 0])
+    run = np.cumsum(new) - 1
+    close = pdf["close"].to_numpy()[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)]
+    trend = close / pd.Series(close).rolling(n).mean().to_numpy() - 1
+    k = np.where((at + base) % tf == 0, run, run - 1)
+    return (np.where(k >= 0, trend[np.maximum(k, 0)], np.nan),)
+
+
 #: name: (function, outputs). A specification is (name, *parameters); more can be registered.
 RECURSIVE = {
     "ema": (lambda pdf, p: (ema(pdf["close"], p),), ("",)), "rsi": (lambda pdf, p: (_rsi(pdf, p),), ("",)), "atr": (lambda pdf, p: (_atr(pdf, p),), ("",)),
-    "macd": (_macd, ("_line", "_signal", "_hist")),
+    "macd": (_macd, ("_line", "_signal", "_hist")), "htf": (_htf, ("",)),
 }
 
 
@@ -100,15 +101,15 @@ def column_names(spec) -> list[str]:
 
 def with_recursive(bars: DataFrame, *specs) -> DataFrame:
     """Adds a column for each output of each specification, all in one pass over each series."""
+    ship(bars.sparkSession)
     names = [c for s in specs for c in column_names(s)]
     schema = T.StructType([*bars.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("t").reset_index(drop=True)
-        for s in specs:
-            for name, values in zip(column_names(s), RECURSIVE[s[0]][0](pdf, *s[1:])):
-                pdf[name] = pd.Series(values, dtype="float64").astype(object).where(~np.isnan(values), None)
-        return pdf
+        new = {n: v for s in specs for n, v in zip(column_names(s), RECURSIVE[s[0]][0](pdf, *s[1:]))}
+        new = {n: pd.Series(v, dtype="float64").astype(object).where(~np.isnan(v), None) for n, v in new.items()}
+        return pd.concat([pdf, pd.DataFrame(new)], axis=1)
 
     return bars.groupBy("series").applyInPandas(run, schema)
 

@@ -20,11 +20,11 @@ ANY = "any"
 
 @dataclass(frozen=True)
 class Family:
-    """parameters: their names. scale: of the parameters. column: of a plain expression, or None where needs() makes it."""
+    """parameters: their names. scale: of the parameters. column: once what needs() names is there."""
 
     parameters: tuple[str, ...]
     scale: Callable[..., str]
-    column: Callable[..., Column] | None = None
+    column: Callable[..., Column]
     needs: Callable[..., list[tuple]] = lambda *p: []
 
 
@@ -66,7 +66,7 @@ FAMILIES: dict[str, Family] = {
     "return": Family(("bars",), lambda n: "return", I.returns),
     "candle": Family(("part",), lambda part: "candle_ratio" if part.endswith("_ratio") else "candle_abs", I.candle),
     "relvol": Family(("short", "long"), lambda a, b: "relvol", lambda a, b: F.try_divide(f"atr_{a}", f"atr_{b}"), lambda a, b: [("atr", a), ("atr", b)]),
-    "htf": Family(("seconds", "candles"), lambda s, n: f"htf_{s}"),
+    "htf": Family(("seconds", "candles"), lambda s, n: f"htf_{s}", _after("htf_{}_{}"), lambda s, n: [("htf", s, n)]),
 }
 
 
@@ -98,9 +98,6 @@ def materialise(bars: DataFrame, operands) -> DataFrame:
     wanted = sorted({x for x in operands if isinstance(x, Operand) and x.family != "price"}, key=str)
     specs = sorted({n for x in wanted for n in FAMILIES[x.family].needs(*x.parameters)}, key=str)
     out = I.with_recursive(bars, *specs) if specs else bars
-    for x in wanted:
-        if x.family == "htf":
-            out = I.with_htf_trend(out, x.parameters[0], x.parameters[1], HOUR, x.name)
-    out = out.withColumns({x.name: FAMILIES[x.family].column(*x.parameters) for x in wanted if x.family != "htf"})
+    out = out.withColumns({x.name: FAMILIES[x.family].column(*x.parameters) for x in wanted})
     keep = [*bars.columns, *(x.name for x in wanted)]
     return out.select(*dict.fromkeys(keep))

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.cluster import ship
+
 from .segments import assign
 
 KEY = ["series", "condition_id", "fold", "segment"]
@@ -53,6 +55,7 @@ def select(found: DataFrame, outcomes: DataFrame | None = None, cooldown: int =
         fit = fit.join(ends, ["series", "e"])
     else:
         fit = fit.withColumn("free", F.col("t") + max(cooldown, 1))
+    ship(fit.sparkSession)
     fit = fit.select(*KEY, "t", "e", F.col("free").cast("bigint"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -116,3 +116,29 @@ def sequence(side: str, p1: float, p2: float, horizon: int, down_first: bool = T
 
 def with_window(bars: DataFrame, horizon: int) -> DataFrame:
     return bars.withColumn("_w", F.collect_list(F.struct("high", "low")).over(W().rowsBetween(0, horizon - 1)))
+
+
+def favourable(side: str, horizon: int, wanted: list[dict]) -> dict[str, Column]:
+    """Columns by name of the wanted favourable outcomes ({kind, p or p1 and p2, bars}); those beyond the horizon are left
+    out. The sequences need with_window()."""
+    out = {}
+    for w in wanted:
+        kind = w["kind"]
+        if w.get("bars", 0) > horizon:
+            continue
+        if kind in ("reach", "at_horizon"):
+            out[f"{kind}_{w['p']:g}_{w['bars']}"] = (reach if kind == "reach" else at_horizon)(side, w["p"], w["bars"])
+        else:
+            out[f"{kind}_{w['p1']:g}_{w['p2']:g}"] = sequence(side, w["p1"], w["p2"], horizon, kind == "down_then_up")
+    return out
+
+
+def levels(bars: DataFrame, trade: Trade) -> DataFrame:
+    """(series, t, tp, sl): the levels of an entry at each bar; null where they aren't valid."""
+    sign, p = (1.0 if trade.side == "LONG" else -1.0), F.col("open")
+    if trade.atr:
+        unit = F.lag(trade.atr).over(W())
+        tp, sl = p + F.lit(sign * trade.tp) * unit, p - F.lit(sign * trade.sl) * unit
+        valid = F.least(tp, sl) > 0
+        return bars.select("series", "t", F.when(valid, tp).alias("tp"), F.when(valid, sl).alias("sl"))
+    return bars.select("series", "t", (p * F.lit(1 + sign * trade.tp)).alias("tp"), (p * F.lit(1 - sign * trade.sl)).alias("sl"))

@@ -55,6 +55,44 @@ def session_missing(bars: DataFrame, holidays=(), weekdays=(2, 3, 4, 5, 6)) -> D
     return days.join(bars.select("series", F.to_date("ts").alias("day")).distinct(), ["series", "day"], "left_anti")
 
 
+def session_grid(days: DataFrame, start: str, end: str, zone: str, step: int, bar_label: str = "start") -> DataFrame:
+    """The bars that sessions have: (series, day) to (series, ts) from the session's start to its end by a market's clock, in
+    UTC, so across changes of its offset. bar_label start leaves the end out, end leaves the start out."""
+    if bar_label not in ("start", "end"):
+        raise ValueError("bar_label is start or end")
+    at = lambda clock: F.to_utc_timestamp(F.concat_ws(" ", F.col("day").cast("string"), F.lit(clock)).cast("timestamp_ntz").cast("timestamp"), zone)
+    a, b = F.unix_timestamp(at(start)), F.unix_timestamp(at(end))
+    first, last = (a, b - step) if bar_label == "start" else (a + step, b)
+    return days.select("series", F.explode(F.sequence(first, last, F.lit(step).cast("bigint"))).alias("s")).select("series", at_epoch("s").alias("ts"))
+
+
+def business_days(bars: DataFrame, zone: str = "UTC", holidays=(), weekdays=(2, 3, 4, 5, 6)) -> DataFrame:
+    """(series, day) of each series' first to last day by a market's clock, without weekends and holidays."""
+    local = F.to_date(F.from_utc_timestamp(F.col("ts").cast("timestamp"), zone))
+    ends = bars.groupBy("series").agg(F.min(local).alias("a"), F.max(local).alias("b"))
+    days = ends.select("series", F.explode(F.sequence("a", "b")).alias("day")).filter(F.dayofweek("day").isin(*weekdays))
+    return days.filter(~F.col("day").isin(*holidays)) if holidays else days
+
+
+def completeness(bars: DataFrame, grid: DataFrame) -> dict[str, DataFrame]:
+    """missing, unexpected and duplicated times against a grid, clipped to the bars' first and last time, and a summary
+    with nat_rows (times that aren't) and is_complete. bars may hold all of these faults."""
+    known = bars.filter("ts IS NOT NULL").select("series", "ts")
+    ends = known.groupBy("series").agg(F.min("ts").alias("_a"), F.max("ts").alias("_b"))
+    clipped = grid.join(F.broadcast(ends), "series").filter("ts >= _a AND ts <= _b").select("series", "ts")
+    found = {"missing": clipped.join(known, ["series", "ts"], "left_anti"), "unexpected": known.distinct().join(clipped, ["series", "ts"], "left_anti"), "duplicated": duplicated(known)}
+    out = bars.groupBy("series").agg(F.count_if(F.col("ts").isNull()).alias("nat_rows"))
+    for name, df in found.items():
+        out = out.join(df.groupBy("series").agg(F.count("*").alias(f"n_{name}")), "series", "left").fillna(0, [f"n_{name}"])
+    return found | {"summary": out.withColumn("is_complete", F.expr("nat_rows + n_missing + n_unexpected + n_duplicated = 0"))}
+
+
+def hour_grid(bars: DataFrame, step: int = HOUR) -> DataFrame:
+    """Every step from a series' first time to its last."""
+    ends = bars.filter("ts IS NOT NULL").groupBy("series").agg(F.min(epoch()).alias("a"), F.max(epoch()).alias("b"))
+    return ends.select("series", F.explode(F.sequence("a", "b", F.lit(step).cast("bigint"))).alias("s")).select("series", at_epoch("s").alias("ts"))
+
+
 def duplicated(df: DataFrame) -> DataFrame:
     return df.groupBy("series", "ts").agg(F.count("*").alias("n")).filter("n > 1")
 

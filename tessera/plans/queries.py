@@ -6,8 +6,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import indicators as I
-from tessera.operators import audit, entries, exposure, inference, outcomes, quality, segments, stats
-from tessera.operators.conditions import And, Compare, ContextTrigger, Cross, Not, Or, Then, Within, evaluate
+from tessera.functions import operands
+from tessera.operators import audit, entries, exposure, inference, outcomes, quality, search, segments, stats
+from tessera.operators.conditions import And, Compare, ContextTrigger, Cross, Not, Or, Then, Within, condition_id, evaluate, operands_of
 from tessera.sources import bars as B
 
 from . import oracles as O
@@ -39,10 +40,13 @@ def query(name, sql=None):
 
 
 def queries():
+    from . import research  # noqa: F401  registers its queries
+
     return dict(_QUERIES)
 
 
 def oracle_sql():
+    queries()
     return dict(_SQL)
 
 
@@ -473,7 +477,7 @@ def _block_stats(bars, s=6):
        "bs AS (SELECT block, rule, sum(x) AS s, count(x) AS c FROM x JOIN ed ON t >= a AND t < b WHERE x IS NOT NULL GROUP BY ALL)", "sp AS (SELECT m FROM (SELECT unnest(generate_series(0, 63)) AS m) WHERE bit_count(m) = 3)",
        "g AS (SELECT m, rule, sum(s) FILTER ((m >> CAST(block AS INTEGER)) & 1 = 1) / sum(c) FILTER ((m >> CAST(block AS INTEGER)) & 1 = 1) AS mi, sum(s) FILTER ((m >> CAST(block AS INTEGER)) & 1 = 0) / sum(c) FILTER ((m >> CAST(block AS INTEGER)) & 1 = 0) AS mo FROM bs, sp GROUP BY ALL)", base=O.TYPE))
 def pbo_cscv(spark, d):
-    out = inference.pbo(inference.cscv(_block_stats(B.type_bars(spark, d))))
+    out = inference.pbo(inference.cscv(_block_stats(B.type_bars(spark, d)), min_trades=1))
     return rounded(out.select("pbo", "n_combinations", "mean_is_best", "mean_oos_best"), "pbo", "mean_is_best", "mean_oos_best")
 
 
@@ -483,14 +487,6 @@ def reality_check(spark, d):
     return inference.reality_check(x.select(F.col("ts").alias("t"), "rule", "x"), 100, mean_block=24)
 
 
-@query("bonferroni")
-def bonferroni(spark, d):
-    rows = [(k, float(inference.bonferroni_t_threshold(k, df))) for k in (1, 4, 16) for df in (float("inf"),)]
-    return spark.createDataFrame(rows, "k int, threshold double")
-
-
-
-
 @query("paired_folds", O.q("SELECT count(*) AS n, round(avg(a - b), 8) AS mean_diff, round(avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))), 8) AS t FROM (SELECT fold, avg(net_typical) AS a, avg(net_optimistic) FILTER (outcome <> 'NONE') AS b FROM wf GROUP BY fold)", *_WF))
 def paired_folds(spark, d):
     f = _fold_rows(B.walk_bars(spark, d)).groupBy("fold").agg(F.avg("net_typical").alias("a"), F.avg(F.when(F.col("outcome") != "NONE", F.col("net_optimistic"))).alias("b"))
@@ -498,6 +494,21 @@ def paired_folds(spark, d):
     return rounded(f.agg(F.count(diff).alias("n"), F.avg(diff).alias("mean_diff"), stats.fold_t(diff).alias("t")), "mean_diff", "t")
 
 
+@query("search_1000")
+def search_1000(spark, d):
+    """A thousand drawn conditions at once over minute bars in TRAIN, each with its entries, statistics and lift: throughput."""
+    bars = B.minute_bars(spark, d).cache()
+    n = n_bars(bars)
+    seg = segments.frame(spark, [(0, "TRAIN", 0, n)])
+    plan = search.Plan(n_simple=1000, regime=True, bounds={"mode": "lift"})
+    by_fold, _ = search.generate(bars, seg, plan)
+    trees = {condition_id(t): (t, None) for t in by_fold[0]}
+    table = outcomes.build(bars, outcomes.Trade(tp=0.01, sl=0.01, horizon=30)).cache()
+    features = operands.materialise(bars, operands_of(t for t, _ in trees.values()))
+    rows = search.evaluate(search.entries(features, table, trees, seg, 30), table, seg, 30, plan)
+    return rows.select("condition_id", "n_raw_signals", "n_entries", "passed", "lift_P_TP_FIRST", "lift_mean_net_return")
+
+
 # --- exposure --------------------------------------------------------------------------------------
 
 _POS = [

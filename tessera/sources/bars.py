@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.quality import normalize_ohlc
+from tessera.operators.quality import normalize_ohlc, resample_strict
 
 #: Loaders by name: (spark, location) to bars. Register a new source here.
 SOURCES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,10 +21,14 @@ def source(name: str):
     return add
 
 
-def load(spark: SparkSession, name: str, location: str) -> DataFrame:
+def load(spark: SparkSession, name: str, location: str, base: int | None = None, rule: int | None = None) -> DataFrame:
+    """Bars of a source; resampled strictly from base to rule seconds where they differ."""
     if name not in SOURCES:
         raise ValueError(f"unknown source {name!r}; known: {sorted(SOURCES)}")
-    return SOURCES[name](spark, location)
+    bars = SOURCES[name](spark, location)
+    if base and rule and base != rule:
+        bars = numbered(resample_strict(bars, rule, base))
+    return bars
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -33,10 +37,10 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("t", (F.row_number().over(w) - 1).cast("bigint"))
 
 
-def _walk(events: DataFrame, series) -> DataFrame:
-    """Hourly bars of a running price. Sums run inside hours, and over hours of sums: no series of events is one task's."""
+def _walk(events: DataFrame, series, unit: str = "hour") -> DataFrame:
+    """Hourly bars, or of another unit, of a running price. Sums run inside hours, and over hours of sums: no series of events is one task's."""
     e = events.select(
-        series.alias("series"), "ts", "event_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"),
+        series.alias("series"), "ts", "event_id", F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("hour"),
         F.round((F.col("value") - 50) * 100).cast("bigint").alias("d"), F.col("value"),
     )
     hours = e.groupBy("series", "hour").agg(F.sum("d").alias("s"), F.count("*").alias("n"))
@@ -57,6 +61,11 @@ def walk_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk(spark.read.parquet(f"{sf_dir}/events.parquet"), F.lit("all"))
 
 
+@source("minute")
+def minute_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _walk(spark.read.parquet(f"{sf_dir}/events.parquet"), F.lit("all"), "minute")
+
+
 @source("type")
 def type_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _walk(spark.read.parquet(f"{sf_dir}/events.parquet"), F.col("event_type"))
@@ -82,12 +91,21 @@ def csv_bars(spark: SparkSession, path: str) -> DataFrame:
 
 @source("kline")
 def kline_bars(spark: SparkSession, path: str) -> DataFrame:
-    """Exchange archives: 12 columns without names; open times are microseconds above 1e14, else milliseconds."""
-    raw = spark.read.csv(path).filter(F.col("_c0").rlike(r"^\d"))
-    at = F.col("_c0").cast("bigint")
-    ts = F.when(at > F.lit(10**14), F.timestamp_micros(at)).otherwise(F.timestamp_millis(at)).cast("timestamp_ntz")
+    """Exchange archives, a folder of files: 12 columns, with names or without; a file with an open time above 1e14 has
+    microseconds, any other milliseconds. Of a time that several files have, the last file's bar stays."""
+    raw = spark.read.csv(path).withColumn("_file", F.input_file_name()).filter(F.col("_c0").rlike(r"^\d"))
+    raw = raw.withColumn("_at", F.col("_c0").cast("bigint"))
+    micros = raw.groupBy("_file").agg((F.max("_at") > F.lit(10**14)).alias("_micros"))
+    raw = raw.join(F.broadcast(micros), "_file")
+    ts = F.when(F.col("_micros"), F.timestamp_micros("_at")).otherwise(F.timestamp_millis("_at")).cast("timestamp_ntz")
     cols = [F.col(f"_c{i}").cast("double").alias(n) for i, n in enumerate(("open", "high", "low", "close", "volume"), 1)]
-    return numbered(normalize_ohlc(raw.select(F.lit(path).alias("series"), ts.alias("ts"), F.monotonically_increasing_id().alias("_seq"), *cols), "_seq"))
+    return numbered(normalize_ohlc(raw.select(F.lit(path).alias("series"), ts.alias("ts"), F.struct("_file", F.monotonically_increasing_id()).alias("_seq"), *cols), "_seq"))
+
+
+@source("download")
+def download(spark: SparkSession, location: str) -> DataFrame:
+    """A place for a client of a price service: without one, bars come from files that another job has landed."""
+    raise NotImplementedError("no client is installed; land the files and load them with csv, kline or parquet")
 
 
 @source("parquet")
