@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.cluster import ship
-from tessera.operators.quality import epoch
+from tessera.operators.quality import PRICES, epoch
 
 
 def W():
@@ -91,7 +92,7 @@ def _htf(pdf, tf, n, base=3600):
 #: name: (function, outputs). A specification is (name, *parameters); more can be registered.
 RECURSIVE = {
     "ema": (lambda pdf, p: (ema(pdf["close"], p),), ("",)), "rsi": (lambda pdf, p: (_rsi(pdf, p),), ("",)), "atr": (lambda pdf, p: (_atr(pdf, p),), ("",)),
-    "macd": (_macd, ("_line", "_signal", "_hist")), "htf": (_htf, ("",)),
+    "sma": (lambda pdf, p: (pdf["close"].rolling(p).mean().to_numpy(),), ("",)), "macd": (_macd, ("_line", "_signal", "_hist")), "htf": (_htf, ("",)),
 }
 
 
@@ -105,13 +106,15 @@ def with_recursive(bars: DataFrame, *specs) -> DataFrame:
     names = [c for s in specs for c in column_names(s)]
     schema = T.StructType([*bars.schema.fields, *(T.StructField(n, T.DoubleType()) for n in names)])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t").reset_index(drop=True)
-        new = {n: v for s in specs for n, v in zip(column_names(s), RECURSIVE[s[0]][0](pdf, *s[1:]))}
-        new = {n: pd.Series(v, dtype="float64").astype(object).where(~np.isnan(v), None) for n, v in new.items()}
-        return pd.concat([pdf, pd.DataFrame(new)], axis=1)
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("t")
+        pdf = table.select([c for c in ("ts", *PRICES) if c in table.column_names]).to_pandas()
+        for s in specs:
+            for name, values in zip(column_names(s), RECURSIVE[s[0]][0](pdf, *s[1:])):
+                table = table.append_column(name, pa.array(np.asarray(values, float), from_pandas=True))
+        return table
 
-    return bars.groupBy("series").applyInPandas(run, schema)
+    return bars.groupBy("series").applyInArrow(run, schema)
 
 
 def with_htf_trend(bars: DataFrame, tf: int, n: int, base: int, name: str) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,7 +58,7 @@ def _after(column: str) -> Callable[..., Column]:
 #: Register a new operand here.
 FAMILIES: dict[str, Family] = {
     "price": Family(("field",), lambda f: "price", lambda f: F.col(f)),
-    "sma": Family(("period",), lambda p: "price", I.sma),
+    "sma": Family(("period",), lambda p: "price", _after("sma_{}"), lambda p: [("sma", p)]),  # a sliding frame would add up p rows for each bar
     "ema": Family(("period",), lambda p: "price", _after("ema_{}"), lambda p: [("ema", p)]),
     "rsi": Family(("period",), lambda p: "rsi", _after("rsi_{}"), lambda p: [("rsi", p)]),
     "atr": Family(("period",), lambda p: "atr", _after("atr_{}"), lambda p: [("atr", p)]),
@@ -93,6 +94,30 @@ def from_dict(d: dict):
     return operand(d["family"], *(d[n] for n in names))
 
 
+def _candle(pdf, part):
+    o, h, l, c = (pdf[x].to_numpy(float) for x in ("open", "high", "low", "close"))
+    name, rng = part.removesuffix("_ratio"), h - l
+    x = {"body": lambda: np.abs(c - o), "range": lambda: rng, "upper_wick": lambda: h - np.maximum(o, c), "lower_wick": lambda: np.minimum(o, c) - l}[name]()
+    return np.divide(x, rng, out=np.full(len(x), np.nan), where=rng > 0) if part.endswith("_ratio") else x
+
+
+#: Array forms of the families whose columns are expressions: over one series' bars in order, given what needs() made.
+ARRAYS: dict[str, Callable] = {
+    "price": lambda pdf, made, f: pdf[f].to_numpy(float), "return": lambda pdf, made, n: (pdf["close"] / pdf["close"].shift(n) - 1).to_numpy(float), "candle": lambda pdf, made, part: _candle(pdf, part),
+    "atr_pct": lambda pdf, made, p: made[f"atr_{p}"] / pdf["close"].to_numpy(float),
+    "relvol": lambda pdf, made, a, b: np.divide(made[f"atr_{a}"], made[f"atr_{b}"], out=np.full(len(pdf), np.nan), where=made[f"atr_{b}"] != 0),
+}
+
+
+def arrays(pdf, operands) -> dict[str, np.ndarray]:
+    """The operands' values by name, over the bars of one series in order; equal to materialise()'s columns, NaN for null."""
+    wanted = {x for x in operands if isinstance(x, Operand)}
+    made: dict[str, np.ndarray] = {}
+    for spec in sorted({n for x in wanted for n in FAMILIES[x.family].needs(*x.parameters)}, key=str):
+        made |= {n: np.asarray(v, float) for n, v in zip(I.column_names(spec), I.RECURSIVE[spec[0]][0](pdf, *spec[1:]))}
+    return {x.name: ARRAYS[x.family](pdf, made, *x.parameters) if x.family in ARRAYS else made[x.name] for x in wanted}
+
+
 def materialise(bars: DataFrame, operands) -> DataFrame:
     """bars with a column for each operand, by its name: one grouped pass for all recursive ones, then expressions."""
     wanted = sorted({x for x in operands if isinstance(x, Operand) and x.family != "price"}, key=str)

@@ -23,6 +23,7 @@ from . import segments as S
 from . import stats
 from .conditions import And, Arrays, Node, Not, Or, Then, Within, condition_id, from_dict, operands_of, to_dict
 from .entries import greedy
+from .quality import PRICES
 
 #: The grammar's weights.
 SIMPLE = {"compare_const": 0.15, "compare_operand": 0.15, "cross_const": 0.40, "cross_operand": 0.30}
@@ -30,10 +31,9 @@ COMPLEX = {"and": 0.15, "or": 0.15, "not": 0.10, "then": 0.20, "within_and": 0.4
 RANGES = {"sma": (5, 200), "ema": (5, 200), "rsi": (5, 30), "atr": (5, 30), "fast": (5, 20), "slow": (21, 50), "signal": (5, 15), "htf4": (6, 60), "htf1d": (5, 100), "short": (5, 30), "long": (60, 300)}
 RETURNS = (*range(1, 26), 50)
 RATIOS = ("body_ratio", "upper_wick_ratio", "lower_wick_ratio")
-PRICES = ("open", "high", "low", "close")
 OPS = (">", ">=", "<", "<=")
 #: Trees of a group.
-BATCH = 256
+BATCH = 128
 #: Draws for each condition that is wanted, at most.
 ATTEMPTS = 50
 
@@ -210,16 +210,36 @@ def _resolved(draft: dict, known: dict, digits: int) -> Node:
     return from_dict(walk(draft))
 
 
-def quantiles(features: DataFrame, train: DataFrame, asked: set) -> dict:
-    """{fold: {(operand, q): value}} over the bars of each fold's TRAIN, exact, in one aggregate."""
-    by: dict[str, list[float]] = {}
+def quantiles(bars: DataFrame, train: DataFrame, asked: set) -> dict:
+    """{fold: {(operand, q): value}} over the bars of each fold's TRAIN, exact. Of one series in its own pass, without
+    columns for the operands; of several, whose values have to meet, in one aggregate over those columns."""
+    folds = {r["fold"]: {} for r in train.select("fold").distinct().collect()}
+    by: dict = {}
     for x, q in sorted(asked, key=lambda r: (str(r[0]), r[1])):
-        by.setdefault(str(x), []).append(q)
+        by.setdefault(x, []).append(q)
     if not by:
-        return {r["fold"]: {} for r in train.select("fold").distinct().collect()}
-    aggs = [F.percentile(F.col(f"`{x}`"), F.array(*map(F.lit, qs))).alias(x) for x, qs in by.items()]
-    rows = S.assign(features, train).groupBy("fold").agg(*aggs).collect()
-    return {r["fold"]: {(x, q): v for x, qs in by.items() for q, v in zip(qs, r[x] or [None] * len(qs))} for r in rows}
+        return folds
+    if "series" in train.columns or len(bars.select("series").distinct().limit(2).collect()) != 1:
+        aggs = [F.percentile(F.col(f"`{x}`"), F.array(*map(F.lit, qs))).alias(str(x)) for x, qs in by.items()]
+        rows = S.assign(O.materialise(bars, by), train).groupBy("fold").agg(*aggs).collect()
+        return {r["fold"]: {(str(x), q): v for x, qs in by.items() for q, v in zip(qs, r[str(x)] or [None] * len(qs))} for r in rows}
+    ship(bars.sparkSession)
+    ranges = [(r["fold"], r["start"], r["end"]) for r in train.collect()]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t").reset_index(drop=True)
+        t, values, out = pdf["t"].to_numpy(), O.arrays(pdf, by), []
+        for fold, a, b in ranges:
+            inside = (t >= a) & (t < b)
+            for x, qs in by.items():
+                own = values[x.name][inside]
+                own = own[~np.isnan(own)]
+                out += [(fold, x.name, q, float(v)) for q, v in zip(qs, np.quantile(own, qs))] if len(own) else []
+        return pd.DataFrame(out, columns=["fold", "x", "q", "v"])
+
+    for r in bars.select("series", "t", "ts", *PRICES).groupBy("series").applyInPandas(run, "fold int, x string, q double, v double").collect():
+        folds[r["fold"]][r["x"], r["q"]] = r["v"]
+    return folds
 
 
 def generate(bars: DataFrame, train: DataFrame, plan: Plan) -> tuple[dict[int, list[Node]], dict]:
@@ -232,7 +252,7 @@ def generate(bars: DataFrame, train: DataFrame, plan: Plan) -> tuple[dict[int, l
     while drafts:
         attempts += len(drafts)
         asked = {r for d in drafts for r in _requests(d)}
-        known = quantiles(O.materialise(bars, {x for x, _ in asked}), train, asked)
+        known = quantiles(bars, train, asked)
         for fold, values in known.items():
             own = folds.setdefault(fold, {})
             for d in drafts:
@@ -252,28 +272,30 @@ FOUND = "series string, condition_id string, fold int, segment string, n_raw_sig
 def entries(features: DataFrame, outcomes: DataFrame, trees: dict[str, tuple[Node, list[int] | None]], segments: DataFrame, horizon: int, cooldown: int | None = None) -> DataFrame:
     """Accepted entries of each condition in each segment, as signal bars, with counters of what was dropped.
 
-    trees: condition id to the tree and its folds (None: all). outcomes: as of outcomes.build(). One group is one
-    series and up to BATCH trees. Entries without valid levels aren't signals.
+    features: bars, with the columns that trees name. trees: condition id to the tree and its folds (None: all).
+    outcomes: as of outcomes.build(). One group is one series and up to BATCH trees: it gets the bars and works out the
+    operands of its own trees. Entries without valid levels aren't signals.
     """
     spark = features.sparkSession
     ship(spark)
-    names = sorted({str(x) for x in operands_of(t for t, _ in trees.values())})
+    names = sorted({x for x in operands_of(t for t, _ in trees.values()) if isinstance(x, str)} - set(PRICES))
     after = outcomes.select("series", (F.col("e") - 1).alias("t"), F.col("exit_offset").alias("_off"), F.col("outcome").isNotNull().alias("_ok"))
     columns = [F.col(f"`{n}`").cast("double").alias(n) for n in names]
-    rows = features.select("series", "t", *columns).join(after, ["series", "t"], "left")
+    rows = features.select("series", "t", "ts", *PRICES, *columns).join(after, ["series", "t"], "left")
     packed = [(cid, json.dumps(to_dict(t)), folds) for cid, (t, folds) in sorted(trees.items())]
     batches = -(-len(packed) // BATCH)
     ranges = [(r["series"] if "series" in segments.columns else None, r["fold"], r["segment"], r["start"], r["end"]) for r in segments.collect()]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t")
+        pdf = pdf.sort_values("t").reset_index(drop=True)
         batch, series = int(pdf["_batch"].iloc[0]), pdf["series"].iloc[0]
+        own_trees = [(cid, from_dict(json.loads(tree)), folds) for cid, tree, folds in packed[batch * BATCH : (batch + 1) * BATCH]]
         t = pdf["t"].to_numpy()
         ok = pdf["_ok"].eq(True).to_numpy(bool)
         free = t + 1 + pdf["_off"].fillna(0).to_numpy(np.int64) if cooldown is None else t + max(cooldown, 1)
-        on, out = Arrays({n: pdf[n].to_numpy(float) for n in names} or {"": t.astype(float)}), []
-        for cid, tree, folds in packed[batch * BATCH : (batch + 1) * BATCH]:
-            at = np.flatnonzero(on.part(from_dict(json.loads(tree)))[0])
+        on, out = Arrays({n: pdf[n].to_numpy(float) for n in (*PRICES, *names)} | O.arrays(pdf, operands_of(x for _, x, _ in own_trees))), []
+        for cid, tree, folds in own_trees:
+            at = np.flatnonzero(on.part(tree)[0])
             for own, fold, segment, a, b in ranges:
                 if (own is not None and own != series) or (folds is not None and fold not in folds):
                     continue
@@ -341,8 +363,7 @@ def run(bars: DataFrame, segments: DataFrame, outcomes: DataFrame, horizon: int,
         for fold, own in by_fold.items():
             for tree in own:
                 trees.setdefault(condition_id(tree), (tree, []))[1].append(fold)
-        features = O.materialise(bars, operands_of(t for t, _ in trees.values()))
-        found = entries(features, outcomes, trees, part, horizon, plan.cooldown)
+        found = entries(bars, outcomes, trees, part, horizon, plan.cooldown)
         return trees, evaluate(found, outcomes, part, horizon, plan).withColumn("stage", F.lit(stage))
 
     stage = 1

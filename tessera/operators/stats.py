@@ -23,23 +23,28 @@ def wilson(k: Column, n: Column) -> tuple[Column, Column]:
 
 
 def compute(rows: DataFrame, keys: list[str], scenarios=("optimistic", "typical"), scenario: str = "typical") -> DataFrame:
+    """Counts, shares, means, medians and quantiles of entries by key. All of a column's quantiles come from one exact
+    percentile, which holds its different values of a key."""
     net = F.col(f"net_{scenario}")
     aggs = [F.count("*").alias("n_entries"), *[F.count_if(F.col("outcome") == k).alias(f"{k}_count") for k in KINDS]]
-    aggs += [F.avg("gross_return").alias("mean_gross_return"), F.median("gross_return").alias("median_gross_return"), F.avg(net).alias("mean_net_return"), F.median(net).alias("median_net_return")]
-    aggs += [F.stddev_samp(net).alias("std_net_return"), F.avg((net > 0).cast("double")).alias("win_rate_net"), F.avg(F.col("exit_offset") + 1).alias("mean_holding_bars")]
-    aggs += [f(c).alias(f"{n}_{c.upper()}") for c in ("mfe", "mae") for f, n in ((F.avg, "mean"), (F.median, "median"))]
-    aggs += [F.avg(F.when(F.col("outcome") != "AMBIGUOUS", net)).alias("mean_net_return_excl_ambiguous")]
-    aggs += [f(f"net_{s}").alias(f"{n}_net_return_{s}") for s in scenarios for f, n in ((F.avg, "mean"), (F.median, "median"))]
-    aggs += [F.percentile(c, F.lit(q)).alias(f"{n}_q{q:g}") for c, n in (("mfe", "MFE"), ("mae", "MAE"), (f"net_{scenario}", "net_return")) for q in QUANTILES]
+    aggs += [F.avg("gross_return").alias("mean_gross_return"), F.avg(net).alias("mean_net_return"), F.stddev_samp(net).alias("std_net_return")]
+    aggs += [F.avg((net > 0).cast("double")).alias("win_rate_net"), F.avg(F.col("exit_offset") + 1).alias("mean_holding_bars"), F.avg("mfe").alias("mean_MFE"), F.avg("mae").alias("mean_MAE")]
+    aggs += [F.avg(F.when(F.col("outcome") != "AMBIGUOUS", net)).alias("mean_net_return_excl_ambiguous"), *[F.avg(f"net_{s}").alias(f"mean_net_return_{s}") for s in scenarios]]
     aggs += [F.avg((F.col("mfe") >= x).cast("double")).alias(f"P_MFE_ge_{x:g}") for x in MFE_THRESHOLDS]
     aggs += [F.avg((F.col("mae") <= -x).cast("double")).alias(f"P_MAE_le_-{x:g}") for x in MAE_THRESHOLDS]
+    ranked = {"gross_return": [0.5], "mfe": QUANTILES, "mae": QUANTILES, **{f"net_{s}": [0.5] for s in scenarios}, f"net_{scenario}": QUANTILES}
+    aggs += [F.percentile(c, F.array(*map(F.lit, qs))).alias(f"_q_{c}") for c, qs in ranked.items()]
     out = rows.groupBy(*keys).agg(*aggs)
+    at = lambda c, q: F.get(f"_q_{c}", F.lit(list(ranked[c]).index(q)))
+    quantiles = {"median_gross_return": at("gross_return", 0.5), "median_net_return": at(f"net_{scenario}", 0.5), "median_MFE": at("mfe", 0.5), "median_MAE": at("mae", 0.5)}
+    quantiles |= {f"median_net_return_{s}": at(f"net_{s}", 0.5) for s in scenarios}
+    quantiles |= {f"{n}_q{q:g}": at(c, q) for c, n in (("mfe", "MFE"), ("mae", "MAE"), (f"net_{scenario}", "net_return")) for q in QUANTILES}
     n = F.col("n_entries")
     low, high = wilson(F.col("TP_FIRST_count"), n)
     se = F.col("std_net_return") / F.sqrt(n)
-    return out.withColumns(
-        {("P_" + k): F.col(f"{k}_count") / F.nullif(n, F.lit(0)) for k in KINDS} | {"P_TP_FIRST_ci95_low": low, "P_TP_FIRST_ci95_high": high, "se_mean_net_return": se}
-    ).withColumn("t_mean_net_return", F.col("mean_net_return") / F.when(F.col("se_mean_net_return") > 0, F.col("se_mean_net_return")))
+    shares = {("P_" + k): F.col(f"{k}_count") / F.nullif(n, F.lit(0)) for k in KINDS} | {"P_TP_FIRST_ci95_low": low, "P_TP_FIRST_ci95_high": high, "se_mean_net_return": se}
+    out = out.withColumns(quantiles | shares | {"expected_return": F.col("mean_gross_return"), "net_expected_return": F.col("mean_net_return")}).drop(*(f"_q_{c}" for c in ranked))
+    return out.withColumn("t_mean_net_return", F.col("mean_net_return") / F.when(F.col("se_mean_net_return") > 0, F.col("se_mean_net_return")))
 
 
 def run_parameters(rows: DataFrame, parameters: dict) -> DataFrame:

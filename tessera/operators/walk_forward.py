@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import operands as O
 from tessera.sources.sinks import save_results
 
 from . import inference, search, stats
 from . import segments as S
-from .conditions import operands_of
 
 
 def _share(condition: Column) -> Column:
@@ -121,8 +119,7 @@ def run(bars: DataFrame, outcomes: DataFrame, folds: DataFrame, horizon: int, pl
     trees: dict = {}
     for r in rows.filter("segment = 'TRAIN' AND passed").select("fold", "condition_id").distinct().collect():
         trees.setdefault(r["condition_id"], (counts["trees"][r["condition_id"]], []))[1].append(r["fold"])
-    features = O.materialise(bars, operands_of(t for t, _ in trees.values()))
-    entered = search.entry_rows(search.entries(features, outcomes, trees, val, horizon, plan.cooldown), outcomes)
+    entered = search.entry_rows(search.entries(bars, outcomes, trees, val, horizon, plan.cooldown), outcomes)
     oos = oos_series(bars, own, entered)
     series = procedure_series(oos).groupBy("t").agg(F.sum("x").alias("x"))
     counts = {k: v for k, v in counts.items() if k != "trees"}

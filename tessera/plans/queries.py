@@ -6,9 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.functions import indicators as I
-from tessera.functions import operands
 from tessera.operators import audit, entries, exposure, inference, outcomes, quality, search, segments, stats
-from tessera.operators.conditions import And, Compare, ContextTrigger, Cross, Not, Or, Then, Within, condition_id, evaluate, operands_of
+from tessera.operators.conditions import And, Compare, ContextTrigger, Cross, Not, Or, Then, Within, condition_id, evaluate
 from tessera.sources import bars as B
 
 from . import oracles as O
@@ -504,8 +503,7 @@ def search_1000(spark, d):
     by_fold, _ = search.generate(bars, seg, plan)
     trees = {condition_id(t): (t, None) for t in by_fold[0]}
     table = outcomes.build(bars, outcomes.Trade(tp=0.01, sl=0.01, horizon=30)).cache()
-    features = operands.materialise(bars, operands_of(t for t, _ in trees.values()))
-    rows = search.evaluate(search.entries(features, table, trees, seg, 30), table, seg, 30, plan)
+    rows = search.evaluate(search.entries(bars, table, trees, seg, 30), table, seg, 30, plan)
     return rows.select("condition_id", "n_raw_signals", "n_entries", "passed", "lift_P_TP_FIRST", "lift_mean_net_return")
 
 

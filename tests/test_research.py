@@ -34,7 +34,7 @@ TREES = [Cross(P.operand("price", "close"), P.operand("sma", 9)), Compare(P.oper
 def test_one_pass_finds_the_entries_of_the_plain_way(spark, bars, table, cooldown):
     seg = segments.frame(spark, segments.chronological_split(500))
     features = P.materialise(bars, operands_of(TREES))
-    found = search.entries(features, table, {condition_id(t): (t, None) for t in TREES}, seg, 8, cooldown)
+    found = search.entries(bars, table, {condition_id(t): (t, None) for t in TREES}, seg, 8, cooldown)
     got = {(r["condition_id"], r["segment"], t) for r in found.collect() for t in r["entries"]}
     signals = entries.long_signals(evaluate(features, {condition_id(t): t for t in TREES}), [condition_id(t) for t in TREES])
     plain = entries.select(entries.candidates(signals, seg, 8), table if cooldown is None else None, cooldown or 1)
@@ -45,6 +45,19 @@ def test_one_pass_finds_the_entries_of_the_plain_way(spark, bars, table, cooldow
     assert len(rows) == 9 and {r["passed"] for r in rows if r["n_entries"] == 0} == {False}
 
 
+def test_arrays_of_operands_are_their_columns(spark, bars):
+    ops = [P.operand("price", "open"), P.operand("sma", 7), P.operand("ema", 5), P.operand("rsi", 6), P.operand("atr", 5), P.operand("atr_pct", 5), P.operand("macd", 3, 8, 4, "hist")]
+    ops += [P.operand("return", 3), P.operand("candle", "body_ratio"), P.operand("candle", "lower_wick"), P.operand("relvol", 4, 9), P.operand("htf", 4 * P.HOUR, 5)]
+    pdf = P.materialise(bars, ops).toPandas().sort_values("t").reset_index(drop=True)
+    for name, values in P.arrays(pdf, ops).items():
+        assert values == pytest.approx(pdf[name].to_numpy(float), nan_ok=True), name
+    # and the completed candles are those of the columns' form
+    from tessera.functions import indicators as I
+
+    htf = I.with_htf_trend(bars, 4 * P.HOUR, 5, 3600, "x").select("t", "x").toPandas().sort_values("t")
+    assert htf["x"].to_numpy(float) == pytest.approx(pdf["htf_14400_5"].to_numpy(float), nan_ok=True)
+
+
 def test_draws_are_seeded_different_and_of_one_scale(spark, bars):
     train = segments.frame(spark, [(0, "TRAIN", 0, 200), (1, "TRAIN", 100, 300)])
     for plan in (search.Plan(n_simple=30, regime=True), search.Plan(n_simple=12, structured=True), search.Plan(n_simple=12, structured=True, side="SHORT")):
@@ -55,10 +68,12 @@ def test_draws_are_seeded_different_and_of_one_scale(spark, bars):
         assert plan.structured == all(t.type == "context" for t in a[0])
     # a threshold is the quantile of its fold's TRAIN, to three digits
     x = P.operand("return", 2)
-    got = search.quantiles(P.materialise(bars, [x]), train, {(x, 0.3)})
+    got = search.quantiles(bars, train, {(x, 0.3)})
+    two = search.quantiles(bars.unionByName(bars.withColumn("series", F.lit("u"))), train, {(x, 0.3)})
     close = np.array([r["close"] for r in bars.orderBy("t").collect()])
     ret = np.append([np.nan, np.nan], close[2:] / close[:-2] - 1)
     assert got[1]["return_2", 0.3] == pytest.approx(np.nanquantile(ret[100:300], 0.3))
+    assert two[1]["return_2", 0.3] == pytest.approx(np.nanquantile(np.tile(ret[100:300], 2), 0.3))
     assert [search.round_sig(v, 3) for v in (0.0012345, 123456.0, -0.5, 0.0)] == [0.00123, 123000.0, -0.5, 0.0]
     deep = search.complex_trees(search.Grammar(search.Plan(n_complex=25, max_depth=3)), TREES)
     assert len({t.key for t in deep}) == len(deep) > 5 and all(2 <= t.depth <= 4 and len(set(search.leaves(t))) == len(search.leaves(t)) for t in deep)
