@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import ctypes
-import os
-import tempfile
+import gc
 import uuid
-import zipfile
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera import cluster
+
 #: Used only where the session names no shared folder (local tests).
 LOCAL_SHARED = "/tmp/checkpoints/tessera"
 
@@ -25,6 +25,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster shares, from spark.checkpoint.dir."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not path and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the cluster shares")
     return path or LOCAL_SHARED
 
 
@@ -54,23 +56,17 @@ BATCH_BYTES = 4 << 20
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, once a context, so that their Python can import it, and bounds the
-    session's Arrow batches in bytes where they aren't bounded as low."""
-    sc, key = spark.sparkContext, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if sc._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+    """Sends this package to the executors, and bounds the session's Arrow batches in bytes where they aren't bounded as low."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
-    if getattr(sc, "_tessera_shipped", False):
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(tempfile.mkdtemp(prefix="tessera-ship-"), "tessera_ship.zip")
-    with zipfile.ZipFile(path, "w") as z:
-        for folder, _, names in os.walk(root):
-            for n in names:
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join("tessera", os.path.relpath(full, root)))
-    sc.addPyFile(path)
-    sc._tessera_shipped = True
+    cluster.ship(spark)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of jobs that are over: it does so when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 #: mallopt's M_MMAP_THRESHOLD, and the bytes from which an array is mapped on its own.

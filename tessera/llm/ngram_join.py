@@ -3,7 +3,8 @@
 Documents with equal shingle sets are one class. Classes are routed to search groups by parts of their sets: a level
 of sizes has one number of parts, more than a link's two sets can differ in, so two linked sets agree in at least one
 whole part, and a part that two classes have alike is rarely a chance. A part two classes share routes both to its
-leader, the smallest class with it. A leader's group is searched with whole sets: its inverted lists are parted into
+leader, the smallest class with it. In a leader's group, finer parts in 16 bits each tell which classes agree in enough
+of them with another one to be linked at all; the others go. What is left is searched with whole sets: its inverted lists are parted into
 long and short ones, the short ones are heap-merged, what occurs often enough in them is binary-probed in the long
 ones, and what reaches the required overlap is checked exactly; documents that are already in the asker's component
 are skipped. A group of over GROUP_BYTES of sets is first searched for links to its leader; the linked are one
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, NOT_SPACE, mix, ship, slices, stage, unstage, utf8, words
+from .common import LOWER, NOT_SPACE, mix, release, ship, slices, stage, unstage, utf8, words
 
 SHINGLE = 3
 PERCENT = 90
@@ -33,6 +34,8 @@ LEVEL = 1.5
 BITS = 1 << 28
 #: How often groups are merged along their leaders, so that fewer sets are sent to several groups.
 MERGES = 2
+#: Rows of a group whose finer parts are compared; a larger group goes on to the search as it is.
+NEAR_ROWS = 1 << 15
 #: Marks keys that stand in for empty parts; above all levels.
 BARE = 128
 #: The paper's weight of a probe against a merge step.
@@ -132,6 +135,32 @@ class Parts:
         return found[order], owners[order]
 
 
+    def fine(self, level: np.ndarray) -> np.ndarray:
+        """Numbers of the finer parts of levels, of which two linked sets agree in half, at least."""
+        return 2 * (self.parts[level] - self.spare[level])
+
+    def differ(self, a, b):
+        """In how many parts sets of sizes a and b can differ, at most, if they link."""
+        return (a + b) * (100 - self.percent) // (100 + self.percent)
+
+    def vectors(self, h: np.ndarray, rows: np.ndarray, n: np.ndarray):
+        """Yields (row, level, 16-bit sums of the finer parts), for each row's level and each next one in which it can have a partner."""
+        starts = np.cumsum(n) - n
+        mixed, place = mix(h + np.uint64(0x632BE59BD9B4E019)), mix(h ^ np.uint64(0xA24BAED4963EE407)) >> np.uint64(32)
+        for row in np.flatnonzero(n > 0).tolist():
+            own, size = slice(starts[row], starts[row] + n[row]), int(n[row])
+            level = int(np.searchsorted(self.borders, size, side="right")) - 1
+            while True:
+                k = int(self.fine(level))
+                part = (place[own] * np.uint64(k) >> np.uint64(32)).astype(np.int64)
+                order = np.argsort(part, kind="stable")
+                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed[own][order], dtype=np.uint64)])
+                cut = np.searchsorted(part[order], np.arange(k + 1))
+                yield row, level, (mix(sums[cut[1:]] - sums[cut[:-1]]) >> np.uint64(48)).astype(np.uint16)
+                level += 1
+                if 100 * size < self.percent * self.borders[level]:
+                    break
+
     @staticmethod
     def _marked(key: np.ndarray, mark: np.ndarray) -> np.ndarray:
         return key & ~np.uint64(0xFF) | mark.astype(np.uint64)
@@ -230,6 +259,95 @@ def _sets(shared, size: int):
     return run
 
 
+def _vectors(shared, size: int, percent: int):
+    """(h, text) to (c, level, n, vec) of the rows whose h the bitmap may hold."""
+    parts = Parts(percent)
+
+    def run(batches):
+        for batch in batches:
+            batch = batch.filter(pa.array(_holds(shared.value, batch.column("h").to_numpy())))
+            data, offsets = utf8(batch.column("text"))
+            for a, b in slices(offsets, 1 << 20):
+                h, rows = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], size)
+                n = np.bincount(rows, minlength=b - a)
+                c = class_ids(h, rows, b - a)[:, :8].copy().view(np.int64)[:, 0]
+                found = list(parts.vectors(h, rows, n))
+                at = np.array([r for r, _, _ in found], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(c[at]), pa.array([x for _, x, _ in found], pa.int32()), pa.array(n[at], pa.int64()), pa.array([v.tobytes() for _, _, v in found], pa.binary())], names=["c", "level", "n", "vec"])
+
+    return run
+
+
+def near(vectors: np.ndarray, n: np.ndarray, parts: Parts) -> np.ndarray:
+    """Which rows (vectors of one level, sizes n) agree with another one in as many finer parts as a link's two sets do.
+
+    The first row is compared with all; any other that is still open meets, under the rarest of its parts, those that it
+    could agree with in enough: a search for T occurrences that leaves T - 1 long lists out.
+    """
+    rows, k = vectors.shape
+    kept = np.zeros(rows, bool)
+
+    def partners(i, who):
+        able = who[np.minimum(n[who], n[i]) * 100 >= np.maximum(n[who], n[i]) * parts.percent]
+        return able[(vectors[able] != vectors[i]).sum(1) <= parts.differ(n[able], n[i])]
+
+    def mark(i, who):
+        found = partners(i, who)
+        found = found[found != i]
+        kept[found] = True
+        kept[i] |= len(found) > 0
+
+    if rows > 1:
+        mark(0, np.arange(rows))
+    if kept.all() or rows < 2:
+        return kept
+    codes = vectors.astype(np.int64) + (np.arange(k) << 16)
+    _, code, count = np.unique(codes, return_inverse=True, return_counts=True)
+    code = code.reshape(rows, k)
+    order = np.argsort(count[code] * (len(count) + 1) + code, axis=1, kind="stable")
+    rarest = np.take_along_axis(code, order, 1)
+    length = np.minimum(k, parts.differ(n, np.minimum(100 * n // parts.percent, n.max())) + 1)  # one of so many is common, as they may differ in one fewer
+    inside = np.arange(k) < length[:, None]
+    flat, owner = rarest[inside], np.repeat(np.arange(rows), length)
+    by = np.argsort(flat, kind="stable")
+    owner, starts = owner[by], np.searchsorted(flat[by], np.arange(len(count) + 1))
+    for i in np.flatnonzero(~kept).tolist():
+        if not kept[i]:
+            own = rarest[i, : length[i]]
+            own = own[count[own] > 1]
+            who = np.unique(np.concatenate([owner[starts[x] : starts[x + 1]] for x in own])) if len(own) else np.zeros(0, np.int64)
+            mark(i, who)
+    return kept
+
+
+def _near(percent: int):
+    """Sorted rows (leader, level, c, n, vec) to (leader, c) of those that may have a link in their group."""
+    parts = Parts(percent)
+
+    def run(batches):
+        group, rows = None, []
+
+        def closed():
+            if len(rows) > NEAR_ROWS:
+                own = rows
+            else:
+                kept = near(np.stack([np.frombuffer(v, np.uint16) for _, _, v in rows]), np.array([m for _, m, _ in rows], np.int64), parts) if rows else []
+                own = [r for r, k in zip(rows, kept) if k]
+            return pa.RecordBatch.from_arrays([pa.array([group[0]] * len(own) if group else [], pa.int64()), pa.array([c for c, _, _ in own], pa.int64())], names=["leader", "c"])
+
+        for batch in batches:
+            for leader, level, *row in zip(*(batch.column(c).to_pylist() for c in ("leader", "level", "c", "n", "vec"))):
+                if (leader, level) != group:
+                    if rows:
+                        yield closed()
+                    group, rows = (leader, level), []
+                if not rows or row[0] != rows[-1][0]:  # several rows may have brought a class's vector
+                    rows.append(row)
+        yield closed()
+
+    return run
+
+
 class Block:
     """Inverted lists over some sets, and the components of those that are linked."""
 
@@ -395,9 +513,10 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     ship(spark)
     docs = df.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text"))
     kind = docs.schema["_id"].dataType.simpleString()
-    signed = stage(docs.mapInArrow(_signatures(size, percent), f"_id {kind}, n long, cid binary, c long, keys array<bigint>"), "join-signatures")
+    keyed = stage(docs.mapInArrow(_signatures(size, percent), f"_id {kind}, n long, cid binary, c long, keys array<bigint>"), "join-signatures")
+    signed = stage(keyed.select("_id", "n", "cid", "c"), "join-rows")
     classes = signed.filter("n > 0").groupBy("cid").agg(F.min("_id").alias("id"), F.count("*").alias("rows"))
-    links, used = _links(spark, docs, signed.filter("n > 0"), size, percent)
+    links, used = _links(spark, docs, keyed, signed.filter("n > 0"), size, percent)
     roots = components(links)
 
     named = classes.join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -412,27 +531,40 @@ def join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: in
     return rows.filter("rows is not null").select(*cols).unionByName(rest.select(*cols))
 
 
-def _links(spark, docs: DataFrame, signed: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+def _links(spark, docs: DataFrame, keyed: DataFrame, of_classes: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
     """(a, b): links that join the components; and the stages that can go once these are read. Bitmaps only keep rows from shuffles."""
     send = spark.sparkContext.broadcast
-    met = signed.select(F.explode("keys").alias("key"), "c").groupBy("key").agg(F.min("c").alias("leader"), F.max("c").alias("last")).filter("leader <> last")
+    met = keyed.select(F.explode("keys").alias("key"), "c").groupBy("key").agg(F.min("c").alias("leader"), F.max("c").alias("last")).filter("leader <> last")
     met = stage(met.select("key", "leader"), "join-keys")
     known = bitmap(met.select(F.shiftright("key", 8).alias("key")), "key")  # the last byte is no hash
-    own_keys = signed.select("c", "n", "keys").mapInArrow(_met_keys(send(known), percent), "key long, c long")
-    routes = stage(own_keys.join(met, "key").select("leader", "c").distinct(), "join-routes")
-    used = [met]
+    release(spark)
+    own_keys = keyed.select("c", "n", "keys").mapInArrow(_met_keys(send(known), percent), "key long, c long")
+    routes = own_keys.join(met, "key").select("leader", "c", F.col("key").bitwiseAND(F.lit(BARE - 1)).cast("int").alias("level")).distinct()
+    routes = stage(routes, "join-routes")
+    unstage(keyed)
+    release(spark)
+    used = [met, routes]
+    text = docs.select(F.xxhash64("_id").alias("h"), "text")
+
+    def representatives(routes):
+        """(cid, c, n, h) of the classes in routes: any of a class's rows serves, as all have its set."""
+        met_classes = of_classes.mapInArrow(_passing(send(bitmap(routes, "c")), "c"), of_classes.schema)
+        return met_classes.groupBy("cid").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.min(F.xxhash64("_id")).alias("h"))
+
+    asked = representatives(routes).select("h").distinct()
+    vectors = stage(text.mapInArrow(_vectors(send(bitmap(asked, "h")), size, percent), "c long, level int, n long, vec binary"), "join-vectors")
+    grouped = routes.join(vectors, ["c", "level"]).select("leader", "level", "c", "n", "vec").repartition("leader", "level").sortWithinPartitions("leader", "level", "c")
+    used += [vectors]
+    routes = stage(grouped.mapInArrow(_near(percent), "leader long, c long").distinct(), "join-routes")
+    release(spark)
     for _ in range(MERGES):  # a leader that is in groups of smaller leaders takes its own group to the first of them
         into = routes.groupBy("c").agg(F.min("leader").alias("into")).filter("into < c").withColumnRenamed("c", "l")
         merged = routes.join(into, F.col("leader") == F.col("l"), "left").select(F.coalesce("into", "leader").alias("leader"), "c").distinct()
         used.append(routes)
         routes = stage(merged, "join-routes")
-    of_classes = signed.select("_id", "n", "cid", "c")
-    met_classes = of_classes.mapInArrow(_passing(send(bitmap(routes, "c")), "c"), of_classes.schema)
-    # any of a class's rows serves: all have its set
-    cands = met_classes.groupBy("cid").agg(F.first("c").alias("c"), F.first("n").alias("n"), F.min(F.xxhash64("_id")).alias("h"))
-    members = stage(routes.join(cands, "c").select("leader", "c", "cid", "n", "h"), "join-members")
+    members = stage(routes.join(representatives(routes), "c").select("leader", "c", "cid", "n", "h"), "join-members")
     asked = members.select("cid", "h").distinct()
-    sets = docs.select(F.xxhash64("_id").alias("h"), "text").mapInArrow(_sets(send(bitmap(asked, "h")), size), "cid binary, set binary")
+    sets = text.mapInArrow(_sets(send(bitmap(asked, "h")), size), "cid binary, set binary")
     sets = stage(sets, "join-sets")
     groups = members.groupBy("leader").agg(F.count("*").alias("size"), F.sum(8 * F.col("n")).alias("bytes"))
     groups = stage(groups.withColumnRenamed("leader", "l"), "join-groups")

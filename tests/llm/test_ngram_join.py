@@ -71,6 +71,7 @@ def test_equals_brute_force(spark, monkeypatch, group, queries, hot):
     monkeypatch.setattr(ngram_join, "GROUP_BYTES", group)
     monkeypatch.setattr(ngram_join, "QUERIES", queries)
     monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "NEAR_ROWS", 1 << 15 if group > 2000 else 3)
     rows = corpus()
     assert order(got(spark, rows)) == order(brute(rows))
     if hot == 1:
@@ -98,6 +99,29 @@ def test_linked_sets_share_a_key(percent):
     assert linked > 300
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_no_linked_set_is_left_out_of_a_group(percent):
+    """Families, chance meetings and one common passage: whoever links with another is kept, and few others are."""
+    parts, rng = ngram_join.Parts(percent), np.random.default_rng(percent)
+    new = lambda m: rng.integers(0, 2**63, m, dtype=np.uint64)
+    sets, common = [], new(60)
+    for _ in range(12):
+        base = new(int(rng.integers(200, 260)))
+        for _ in range(5):
+            sets.append(np.unique(np.concatenate([base[rng.integers(0, 2 * (100 - percent)) :], new(int(rng.integers(0, 100 - percent)))])))
+    sets += [np.unique(np.concatenate([common, new(int(rng.integers(140, 190)))])) for _ in range(60)]
+    n = np.array([len(x) for x in sets])
+    linked = [any(i != j and 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    found: dict = {}
+    for row, level, vec in parts.vectors(np.concatenate(sets), np.repeat(np.arange(len(sets)), n), n):
+        found.setdefault(level, []).append((row, vec))
+    kept = np.zeros(len(sets), bool)
+    for own in found.values():
+        at = np.array([r for r, _ in own])
+        kept[at] |= ngram_join.near(np.stack([v for _, v in own]), n[at], parts)
+    assert all(kept[linked]) and 20 < sum(linked) and kept.sum() <= sum(linked) + 10
+
+
 def test_empty_table(spark):
     assert got(spark, []) == []
 
