@@ -239,7 +239,7 @@ def find(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col:
     consecutive words of an item, or all words of a shorter item. Null texts have no words; items without an id
     or words are ignored; rows of one item id count as one item. An empty benchmark hits nothing, an empty df
     gives no rows. A benchmark of over block_bytes is searched in blocks, one pass each, over staged rows with keys of
-    their own, so null and repeated ids give the same rows as in one block.
+    their own, so null and repeated ids give the same rows as in one block. Texts of any length are searched whole.
     """
     spark = df.sparkSession
     ship(spark)

@@ -89,7 +89,7 @@ def mix(df: DataFrame, seed: int = 7, weights=WEIGHTS, cap: int = CAP, id_col: s
 
     size: words between ASCII white space, 0 for a null text. Null is a source, the last. A source without words
     has target 0. A document is taken copies times, from 0 to cap. Draws depend on seed, id and counts alone, so
-    reruns agree; rows that repeat an id and size are interchangeable. An empty df gives no rows. The driver
+    reruns agree; rows that repeat an id and size are interchangeable. Texts of any length are counted whole. An empty df gives no rows. The driver
     gets one row a source; a task gets one row for each length of a source.
     """
     spark = df.sparkSession

@@ -145,15 +145,17 @@ def _score(shared):
 
 
 def fit(df: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Voter:
-    """Of the labelled ids outside the held-out fold those of the smallest hashes, sample at most."""
+    """Of the labelled ids outside the held-out fold those of the smallest hashes, sample at most. Labels that an id
+    repeats are averaged, and half or more counts as 1; documents that repeat an id give their smallest text."""
     spark = df.sparkSession
     ship(spark)
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & (fold_of(id_col) != 2))
     known = known.groupBy(F.col(id_col).alias("_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
     known = known.orderBy(F.xxhash64(F.col("_id").cast("string")), "_id").limit(sample)
     docs = df.select(F.col(id_col).alias("_doc"), F.col(text_col).alias("text"))
-    texts = docs.join(F.broadcast(known), F.col("_doc") == F.col("_id")).select("label", "text")
-    found = texts.mapInArrow(_features, "label int, terms binary").limit(2 * sample).toArrow()
+    # rows that repeat an id give one text, the smallest, so that no more than the sample is gathered
+    texts = docs.join(F.broadcast(known), F.col("_doc") == F.col("_id")).groupBy("_id").agg(F.first("label").alias("label"), F.min("text").alias("text"))
+    found = texts.select("label", "text").mapInArrow(_features, "label int, terms binary").toArrow()
     x = np.frombuffer(b"".join(found.column("terms").to_pylist()), np.float16).reshape(-1, TERMS).astype(np.float32)
     return Voter(x, found.column("label").to_numpy())
 
@@ -162,7 +164,8 @@ def score(df: DataFrame, voter: Voter, id_col: str = "doc_id", text_col: str = "
     """One row per row of df: id, held_out, score and predicted (1 if score >= THRESHOLD).
 
     A null text counts as empty; an empty text is scored by its statistics' terms like any other, and without
-    labelled documents every score is 0.5. A null id is not held out. An empty df gives no rows.
+    labelled documents every score is 0.5. A null id is not held out. Repeated rows score alike, texts of any length are
+    read whole, and of neighbours that tie at the border any may vote. An empty df gives no rows.
     """
     spark = df.sparkSession
     ship(spark)

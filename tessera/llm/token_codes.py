@@ -244,7 +244,8 @@ def write_tokens(df: DataFrame, tokenizer_path: str, out_path: str | None = None
     """Encodes df's texts, each followed by end_id, and writes the segments; returns their folder.
 
     Order: ascending id, a null id first, rows that repeat an id by number of ids and then content. A null or
-    empty text has end_id alone. An empty df writes no segment.
+    empty text has end_id alone, and a text of any length is one document. Ids are integers, or cast to them: a text that is
+    no number fails the job. An empty df writes no segment.
     """
     spark = df.sparkSession
     ship(spark)

@@ -197,7 +197,7 @@ def url_filter(df: DataFrame, rules: list[tuple[str, str, str]], id_col: str = "
     own, and the longest one wins. Without a rule the verdict is the models': block where score is above the
     threshold; score is null where a rule decides. A null URL, or one without "://", has an empty host and
     path; a null one scores as an empty one. If rules accept or reject no URL, models say nothing: allow.
-    Repeated rows are judged alike; an empty df gives no rows; other columns are ignored.
+    Repeated rows are judged alike, and URLs of any length whole; a score that equals the threshold is allowed; an empty df gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
     ship(spark)
