@@ -30,7 +30,9 @@ RANK_BITS = 512
 BUCKET_BYTES = 16 << 20
 END_ID = 1
 #: Pieces of which the ids are kept, for each Python worker, at about 40 bytes.
-CACHE_PIECES = 2_000_000
+CACHE_PIECES = 400_000
+#: Text bytes that are cut into pieces at once; each takes about 100 bytes of working arrays.
+SLICE_BYTES = 1 << 18
 
 SEGMENT_SCHEMA = (
     "bucket long, seq long, n_tokens long, doc_ids array<bigint>, doc_lens array<bigint>, "
@@ -198,7 +200,7 @@ def _encode_batches(path: str, end_id: int, edges: np.ndarray):
         enc = encoder(path)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for a, b in slices(offsets, 1 << 19):
+            for a, b in slices(offsets, SLICE_BYTES):
                 part = batch.slice(a, b - a)
                 ids = enc.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end_id)
                 bucket = np.searchsorted(edges, part.column("doc_id").fill_null(-(2**63)).to_numpy(zero_copy_only=False), side="right")
