@@ -28,6 +28,8 @@ SEGMENT_TOKENS = 1 << 18
 RANK_BITS = 512
 #: Text bytes of a bucket, the range of documents that one task writes.
 BUCKET_BYTES = 16 << 20
+#: Buckets at most; beyond, they hold more bytes. Their tasks then sort more, by spilling, and stream segments as before.
+BUCKETS = 100_000
 END_ID = 1
 #: Pieces of which the ids are kept, for each Python worker, at about 40 bytes.
 CACHE_PIECES = 400_000
@@ -254,12 +256,13 @@ def write_tokens(df: DataFrame, tokenizer_path: str, out_path: str | None = None
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     # Ranges of ids with about BUCKET_BYTES of text each, from ids and lengths alone: the texts are encoded once.
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = max(1, min(total // BUCKET_BYTES + 1, 20_000))
+    n = max(1, min(total // BUCKET_BYTES + 1, BUCKETS))
     bounds = docs.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], max(10_000, 4 * n))).first()[0] if n > 1 else None
     edges = np.asarray(sorted(set(bounds or [])), np.int64)
     coded = docs.mapInArrow(_encode_batches(tokenizer_path, end_id, edges), "bucket long, doc_id long, n_tokens long, ids binary")
     out = out_path or stage_path(spark, "tokens")
-    segments = coded.repartition(max(n, 1), "bucket").sortWithinPartitions("bucket", "doc_id", "n_tokens", "ids").mapInArrow(_write_segments, SEGMENT_SCHEMA)
+    # one bucket a task: hashed, several buckets fall into one task
+    segments = coded.repartitionById(n, F.col("bucket").cast("int")).sortWithinPartitions("bucket", "doc_id", "n_tokens", "ids").mapInArrow(_write_segments, SEGMENT_SCHEMA)
     segments.write.parquet(out)
     return out
 
