@@ -54,6 +54,17 @@ def test_token_files_are_the_tokenizers(spark):
     assert token_codes.read_digest(spark, token_codes.write_tokens(documents(spark, []), queries.tokenizer_path())).collect() == []
 
 
+def test_token_codes_in_many_buckets(spark, monkeypatch):
+    rows = [(i * 7 % 101 if i else None, f"word{i} " * (i % 5)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    digest = lambda: token_codes.read_digest(spark, token_codes.write_tokens(docs, queries.tokenizer_path())).collect()
+    whole = sorted(map(tuple, digest()), key=lambda r: r[1])
+    monkeypatch.setattr(token_codes, "BUCKET_BYTES", 100)
+    assert sorted(map(tuple, digest()), key=lambda r: r[1]) == whole
+    monkeypatch.setattr(token_codes, "BUCKETS", 3)
+    assert sorted(map(tuple, digest()), key=lambda r: r[1]) == whole and len(whole) == 60
+
+
 def test_mixing_meets_targets(spark):
     rng = random.Random(5)
     rows = [(i, "w " * rng.choice([0, 1, 3, 17, 60]), None, rng.choice(["a", "a", "a", "b", "c", None]), 0, "k", "h") for i in range(400)]
